@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relspark.llm import mixing
-from relspark.llm.common import read_table
+import public_tokenizers
+
+from relspark.llm import chat, mixing, sharding, token_counts, token_output
+from relspark.llm.common import fresh_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,3 +49,50 @@ mixed AS (SELECT *, (whole + CASE WHEN p > 0 AND 2 * cum - own <= 2 * need THEN
 """
 ORACLE_SQL["op1_mixing"] = "WITH " + MIX_SQL.format(docs="documents") + """
 SELECT doc_id, source, size, source_size::BIGINT AS source_size, target, copies, (size * copies)::BIGINT AS taken FROM mixed"""
+
+
+@query
+def op7_chat_formatting(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    out = chat.format_paths(chat.reply_paths(chat.from_turns(rows.unionByName(more))))
+    turns = chat.read_back(F.col("formatted"))
+    out = out.withColumns({"_turns": turns, "_loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))})
+    return out.select(
+        F.col("conv").alias("conv_id"), F.size("_turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLE_SQL["op7_chat_formatting"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+e AS (SELECT *, length(replace(replace(replace(replace(role, '\', '\s'), '<', '\l'), '[', '\b'), chr(10), '\n')) AS role_chars,
+    length(replace(replace(replace(text, '\', '\s'), '<', '\l'), '[', '\b')) AS text_chars FROM c)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(12 + role_chars + 1 + text_chars + 11)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+@query
+def op10_sharding(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sharding.external_shuffle(docs, fresh_path(spark, "shards"))
+    return out.select("doc_id", sharding.text_size(F.col("text")).alias("size"), sharding.text_crc32(F.col("text")).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
+
+@query
+def op2_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op8_token_output(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    tokens = token_output.write_token_ids(docs, fresh_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.digests(tokens)
