@@ -48,7 +48,7 @@ def _fisher_yates(n: int, seed: list[int]) -> np.ndarray:
 
 
 def _shuffler(names: list[str], seed: int):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         bucket = key[0].as_py()
         order = np.lexsort([np.asarray(table.column(c).combine_chunks().fill_null(0)) for c in ("_tie", "_id")])
         at = order[_fisher_yates(table.num_rows, [seed, bucket])]

@@ -41,7 +41,7 @@ def attribute(begin: np.ndarray, end: np.ndarray, starts: np.ndarray, rule: str)
 
 def _counter(path: str, rule: str):
     def run(batches):
-        encoder = UnitEncoder(path, offsets=True)
+        encoder = UnitEncoder.get(path, offsets=True)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             for i, j in chunks(texts):

@@ -29,7 +29,7 @@ SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 def _encoder(path: str, end_id: int):
     def run(batches):
-        encoder, start = UnitEncoder(path), 0
+        encoder, start = UnitEncoder.get(path), 0
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             for a, b in chunks(texts):

@@ -1,23 +1,29 @@
-"""Encoding whole texts with the tokenizers library, one call per distinct unit.
+"""Encoding whole texts with the tokenizers library, once for each distinct unit.
 
-The byte-level pre-tokenizer always starts a new piece at a blank that a visible character follows, and merges never cross
-pieces. So a text may be cut before such blanks into units, and equal units have equal ids wherever they stand. A batch is cut,
-its distinct new units are encoded, and ids (and character offsets) are gathered with numpy. Texts are never shortened.
+The byte-level pre-tokenizer always starts a new piece at a blank that a visible character follows, around a line feed between visible
+characters, and between letters and a full stop or comma; merges never cross pieces. So a text may be cut there into units, and
+equal units have equal ids wherever they stand. A batch is cut, its distinct new units are encoded, and ids (and character
+offsets) are gathered with numpy. Units that came more than once outlive a task. Texts are never shortened.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import types
 
 import numpy as np
 
-GAP = re.compile(r" \s")
+#: White space other than blanks and line feeds, and the mark used below: such texts are cut more carefully.
+ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]")
 CUT = re.compile(r" (?=\S)")
 #: Units kept in memory, and characters handled at a time. They bound memory, not results.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 600_000
 CHUNK_CHARS = 3_000_000
 #: Units joined to one text for the tokenizer.
 JOINED = 1000
+#: First character of the key of a unit that has no blank before it. Other keys but the line feed's lack their unit's first blank.
+RAW = "\x00"
 
 
 def chunks(texts: list[str], most: int = CHUNK_CHARS):
@@ -39,16 +45,45 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def cut(text: str) -> list[str]:
+    """The keys of a text's units."""
+    if not ODD.search(text):
+        keys = (RAW + text.replace("\n", " \n \x00")).split(" ")
+        if "" not in keys and RAW not in keys:
+            return keys
+    if RAW in text:
+        return [RAW + text]
+    parts = CUT.split(text)
+    parts[0] = RAW + parts[0]
+    return parts
+
+
+def unit(key: str) -> str:
+    return key[1:] if key[:1] == RAW else key if key == "\n" else " " + key
+
+
+def unit_lengths(keys: list[str]) -> np.ndarray:
+    n = np.fromiter(map(len, keys), np.int64, len(keys))
+    short = np.fromiter((k[:1] == RAW for k in keys), bool, len(keys))
+    feed = np.fromiter((k == "\n" for k in keys), bool, len(keys))
+    return np.where(short, n - 1, np.where(feed, 1, n + 1))
+
+
+def worker_cache() -> dict:
+    """What lives as long as a Python worker, whose tasks each get their own copy of this module."""
+    return sys.modules.setdefault("relspark_worker_cache", types.ModuleType("relspark_worker_cache")).__dict__
+
+
 class _Codes(dict):
-    """unit -> number; new units get the next number and wait in ``new``."""
+    """key -> number; new keys get the next number and wait in ``new``."""
 
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
 
-    def __missing__(self, unit: str) -> int:
-        n = self[unit] = len(self)
-        self.new.append(unit)
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
         return n
 
 
@@ -60,67 +95,132 @@ class UnitEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.model = self.tok.model
         self.offsets = offsets
         if offsets:
             self.tok.post_processor = processors.ByteLevel(trim_offsets=False)
-        self.newline = self.tok.encode("\n", add_special_tokens=False).ids
+        feed = self.tok.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else -1
+        self.blank = self.tok.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.forget()
 
+    @staticmethod
+    def get(path: str, offsets: bool = False) -> UnitEncoder:
+        """This worker's encoder."""
+        cache = worker_cache()
+        if (path, offsets) not in cache:
+            cache[path, offsets] = UnitEncoder(path, offsets)
+        return cache[path, offsets]
+
     def forget(self) -> None:
         self.codes = _Codes()
         self.ids, self.begin, self.end = (np.zeros(0, np.int32) for _ in range(3))
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.count, self.hits = (np.zeros(0, np.int64) for _ in range(3))
+        for key in ("", RAW, "\n", ".", ","):
+            self.codes[key]
+            self.codes[RAW + key]
+        self._encode_new()
+
+    def _trim(self) -> None:
+        """Keep what came more than once (or more often, if that's still much)."""
+        least = 2
+        while np.count_nonzero(self.hits >= least) > KEPT_UNITS // 2:
+            least *= 2
+        keep = self.hits >= least
+        keep[:10] = True
+        number = np.cumsum(keep) - 1
+        codes = _Codes()
+        codes.update((k, int(number[n])) for k, n in self.codes.items() if keep[n])
+        self.codes = codes
+        count = self.count[keep]
+        at = gather(self.start[keep], count)
+        self.ids = self.ids[at]
+        if self.offsets:
+            self.begin, self.end = self.begin[at], self.end[at]
+        self.start, self.count, self.hits = np.cumsum(count) - count, count, self.hits[keep] // 2
 
     def _encode_new(self) -> None:
+        stems = self.codes.new[:]
+        first = len(self.count)
+        # Letters before a last stop or comma are a unit; the stop or comma has its own piece.
+        tails = [(first + i, self.codes[k[:-1]], self.codes[RAW + k[-1]]) for i, k in enumerate(stems) if len(k) > 1 and k[-1] in ".," and k[:-1].isalpha()]
         new, self.codes.new = self.codes.new, []
-        ids: list[np.ndarray | None] = [None] * len(new)
-        spans: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(new)
-        run = self.tok.encode_batch if self.offsets else self.tok.encode_batch_fast
-        # A unit without white space but its first blank keeps its pieces when line feeds stand around it.
-        plain = [i for i, u in enumerate(new) if len(self.newline) == 1 and u[:1] == " " and len(u) > 1 and len(u.split()) == 1 and not u[-1].isspace() and not u[1].isspace()]
-        lone = sorted(set(range(len(new))).difference(plain))
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, enc in zip(groups, run(["\n".join([new[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-            flat = np.array(enc.ids, np.int32)
-            cuts = np.flatnonzero(flat == self.newline[0])
-            firsts, lasts = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(flat)]])
-            if len(firsts) != len(group):
-                lone += group
-                continue
-            off = np.array(enc.offsets, np.int32).reshape(-1, 2) if self.offsets else None
-            at = 0
-            for i, a, b in zip(group, firsts.tolist(), lasts.tolist(), strict=True):
-                ids[i] = flat[a:b]
-                if off is not None:
-                    spans[i] = (off[a:b, 0] - at, off[a:b, 1] - at)
-                    at += len(new[i]) + 1
-        for i, enc in zip(lone, run([new[i] for i in lone], add_special_tokens=False), strict=True):
-            ids[i] = np.array(enc.ids, np.int32)
-            if self.offsets:
-                off = np.array(enc.offsets, np.int32).reshape(-1, 2)
-                spans[i] = (off[:, 0], off[:, 1])
-        count = np.array([len(x) for x in ids], np.int64)
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, *ids])
+        self.start, self.count, self.hits = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.start, self.count, self.hits))
+        self.made, self.size = [], len(self.ids)
+        done = {t[0] for t in tails}
+        words, blanks, raws = [], [], []
+        for i, key in enumerate(new, first):
+            if i not in done:
+                # Letters alone are one piece, which the model takes as it is.
+                (words if key.isascii() and key.isalpha() else raws if key[:1] == RAW or key == "\n" else blanks).append(i)
+        if words:
+            tokenize, blank = self.model.tokenize, self.blank
+            found = [tokenize(blank + new[i - first]) for i in words]
+            flat = [t for ts in found for t in ts]
+            # The model counts bytes, of which the blank's stand-in has two.
+            at = np.maximum(np.array([t.offsets for t in flat] if self.offsets else [], np.int32).reshape(-1, 2) - 1, 0)
+            count = np.fromiter(map(len, found), np.int64, len(found))
+            self._keep(np.array(words), np.fromiter((t.id for t in flat), np.int32, len(flat)), np.cumsum(count) - count, count, at, 0)
+        lone = []
+        for keys, lead in ((blanks, " "), (raws, "")):
+            groups = [keys[i : i + JOINED] for i in range(0, len(keys), JOINED)]
+            plain, texts = [], []
+            for group in groups:
+                bare = [new[i - first][0 if lead else 1 :] for i in group]
+                text = lead + ("\n" + lead).join(bare)
+                if self.feed >= 0 and text.split() == bare:
+                    plain.append((group, np.fromiter(map(len, bare), np.int64, len(bare)) + len(lead) + 1))
+                    texts.append(text)
+                else:
+                    lone += group
+            for (group, length), enc in zip(plain, self._run(texts), strict=True):
+                flat = np.array(enc.ids, np.int32)
+                ends = np.concatenate([np.flatnonzero(flat == self.feed), [len(flat)]])
+                if len(ends) != len(group):
+                    lone += group
+                    continue
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                shift = np.repeat(np.cumsum(length) - length, np.diff(np.concatenate([starts, [len(flat)]]))) if self.offsets else 0
+                self._keep(np.array(group), flat, starts, ends - starts, np.array(enc.offsets, np.int32).reshape(-1, 2) if self.offsets else None, shift)
+        for i, enc in zip(lone, self._run([unit(new[i - first]) for i in lone]), strict=True):
+            self._keep(np.array([i]), np.array(enc.ids, np.int32), np.array([0]), np.array([len(enc.ids)]), np.array(enc.offsets, np.int32).reshape(-1, 2) if self.offsets else None, 0)
+        self.ids = np.concatenate([self.ids, *[x[0] for x in self.made]])
         if self.offsets:
-            self.begin = np.concatenate([self.begin, *[s[0] for s in spans]])
-            self.end = np.concatenate([self.end, *[s[1] for s in spans]])
+            self.begin = np.concatenate([self.begin, *[x[1] for x in self.made]])
+            self.end = np.concatenate([self.end, *[x[2] for x in self.made]])
+        if tails:
+            which, stem, tail = (np.array(x) for x in zip(*tails, strict=True))
+            n = self.count[stem]
+            at = gather(self.start[stem], n)
+            ends = np.cumsum(n)
+            self.start[which], self.count[which] = len(self.ids) + ends - n + np.arange(len(n)), n + 1
+            if self.offsets:
+                length = self.end[self.start[stem] + n - 1]
+                self.begin = np.concatenate([self.begin, np.insert(self.begin[at], ends, length)])
+                self.end = np.concatenate([self.end, np.insert(self.end[at], ends, length + 1)])
+            self.ids = np.concatenate([self.ids, np.insert(self.ids[at], ends, self.ids[self.start[tail]])])
+
+    def _run(self, texts: list[str]):
+        return (self.tok.encode_batch if self.offsets else self.tok.encode_batch_fast)(texts, add_special_tokens=False)
+
+    def _keep(self, which: np.ndarray, flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, spans: np.ndarray | None, shift) -> None:
+        self.start[which], self.count[which] = self.size + starts, counts
+        self.made.append((flat, (spans[:, 0] - shift).astype(np.int32), (spans[:, 1] - shift).astype(np.int32)) if self.offsets else (flat,))
+        self.size += len(flat)
 
     def encode(self, texts: list[str]):
         if len(self.codes) > KEPT_UNITS:
-            self.forget()
+            self._trim()
         flat: list[str] = []
         per_text = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
-            parts = CUT.split(text) if GAP.search(text) else text.split(" ")
-            before = len(flat)
-            flat.append(parts[0])
-            flat.extend([" " + p for p in parts[1:]])
-            per_text[i] = len(flat) - before
+            keys = cut(text)
+            flat += keys
+            per_text[i] = len(keys)
         codes = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
         if self.codes.new:
             self._encode_new()
+        self.hits += np.bincount(codes, minlength=len(self.hits))
         count = self.count[codes]
         at = gather(self.start[codes], count)
         ends = np.concatenate([[0], np.cumsum(count)])
@@ -128,7 +228,7 @@ class UnitEncoder:
         tokens = ends[last] - ends[last - per_text]
         if not self.offsets:
             return self.ids[at], tokens
-        length = np.fromiter(map(len, flat), np.int64, len(flat))
+        length = unit_lengths(flat)
         where = np.cumsum(length) - length
         where = np.repeat(where - np.repeat(where[last - per_text], per_text), count)
         return self.ids[at], tokens, where + self.begin[at], where + self.end[at]
