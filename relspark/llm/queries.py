@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from relspark.llm import chat, mixing, sharding, token_counts, token_output
+from relspark.llm import chat, jaccard_join, media, mixing, quality, sharding, token_counts, token_output
 from relspark.llm.common import fresh_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,19 @@ def op8_token_output(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     tokens = token_output.write_token_ids(docs, fresh_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_output.digests(tokens)
+
+
+@query
+def op3_quality_classifier(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_media_columns(spark, sf_dir):
+    return media.digests(media.extract(read_table(spark, sf_dir, "documents")))
+
+
+@query
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
