@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from relspark.llm import chat, jaccard_join, media, mixing, quality, segmentation, sharding, token_counts, token_output
+from relspark.llm import chat, jaccard_join, media, mixing, nearest, quality, segmentation, sharding, token_counts, token_output
 from relspark.llm.common import fresh_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,8 @@ def op5_jaccard_join(spark, sf_dir):
 @query
 def op4_sentencepiece(spark, sf_dir):
     return segmentation.segment(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_nearest_neighbours(spark, sf_dir):
+    return nearest.nearest(read_table(spark, sf_dir, "embeddings"))
