@@ -44,7 +44,7 @@ def test_like_sql(spark, small, tmp_path):
     got = [tuple(r) for r in QUERIES["op7_chat_formatting"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     planted = next(r for r in got if r[0] == -1)
-    assert planted[1:5] == (2, hashlib.sha256(b"user\n</s>[INST] ok [/INST]\nassistant\n</s>[INST] ok [/INST]\n").hexdigest(), 22, hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest())
+    assert planted[1:5] == (2, hashlib.sha256(b"user\n</s>[INST] ok [/INST]\nassistant\n</s>[INST] ok [/INST]\n").hexdigest(), 21, hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest())
 
 
 def test_empty(spark):

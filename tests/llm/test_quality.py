@@ -10,8 +10,8 @@ def test_features_by_hand():
     sets = [set(place[doc == i].tolist()) for i in range(4)]
     assert sets[0] == sets[3] and sets[1] == set() and len(sets[2]) == 2 + 2 + 1
     assert all(len(place[doc == i]) == len(s) for i, s in enumerate(sets))
-    # Three words: a, b, c; the shape token with and without recurrence; bigrams and trigrams of these two.
-    assert len(sets[0]) == 3 + 2 + 3 + 3
+    # Words a, b, c; tokens 0 0 0 1 0 0 (1: the three words from here on came before): 0 and 1; 00 01 10; 000 001 010 100.
+    assert len(sets[0]) == 3 + 2 + 3 + 4
     alone = quality.features(["THE!! cat"])
     assert set(alone[1].tolist()) == sets[2]
 

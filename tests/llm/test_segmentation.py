@@ -62,7 +62,7 @@ def test_chains_of_words(vocab):
     total = Counter(tuple(p[0].tolist()) for r in got for p in r)
     best = sorted(((pa * pb, sa + sb) for sa, pa in a.items() for sb, pb in b.items()), reverse=True)
     assert all(abs(np.exp(p[1]) - dict((s, q) for q, s in best)[tuple(p[0].tolist())]) < 1e-9 for r in got[:200] for p in r)
-    assert total.most_common(1)[0][0] == best[0][1] and total[best[0][1]] > 0.9 * n
+    assert total[best[0][1]] > 0.98 * n and total[best[1][1]] > 0.8 * n
 
 
 @pytest.mark.parametrize("text", ["", "a", " a", "a ", "a  b", "   ", "\n", "\n\n a", "▁x ▁", "é\x00 b", "中文 ok  yes\tz", "a \n b", "x" * 300, "😀 😀", "\x00"])
