@@ -1,7 +1,7 @@
 """Encoding whole texts with the tokenizers library, once for each distinct unit.
 
 The byte-level pre-tokenizer always starts a new piece at a blank that a visible character follows, around a line feed between visible
-characters, and between letters and a full stop or comma; merges never cross pieces. So a text may be cut there into units, and
+characters, and between letters and punctuation marks that end a word; merges never cross pieces. So a text may be cut there into units, and
 equal units have equal ids wherever they stand. A batch is cut, its distinct new units are encoded, and ids (and character
 offsets) are gathered with numpy. Units that came more than once outlive a task. Texts are never shortened.
 """
@@ -9,6 +9,7 @@ offsets) are gathered with numpy. Units that came more than once outlive a task.
 from __future__ import annotations
 
 import re
+import string
 import sys
 import types
 
@@ -18,12 +19,16 @@ import numpy as np
 ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]")
 CUT = re.compile(r" (?=\S)")
 #: Units kept in memory, and characters handled at a time. They bound memory, not results.
-KEPT_UNITS = 600_000
-CHUNK_CHARS = 3_000_000
+KEPT_UNITS = 400_000
+CHUNK_CHARS = 2_000_000
 #: Units joined to one text for the tokenizer.
 JOINED = 1000
 #: First character of the key of a unit that has no blank before it. Other keys but the line feed's lack their unit's first blank.
 RAW = "\x00"
+#: Marks that are neither letters, digits nor white space: a run of them after letters is a piece of its own.
+MARKS = string.punctuation
+#: Letters below this are letters in any version of Unicode.
+LATIN_END = "\u0250"
 
 
 def chunks(texts: list[str], most: int = CHUNK_CHARS):
@@ -101,6 +106,12 @@ class UnitEncoder:
             self.tok.post_processor = processors.ByteLevel(trim_offsets=False)
         feed = self.tok.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else -1
+        # How the pre-tokenizer writes the bytes of Latin letters beyond ASCII.
+        self.letters = {}
+        for n in range(0x80, 0x250):
+            if chr(n).isalpha():
+                pieces = self.tok.pre_tokenizer.pre_tokenize_str(chr(n))
+                self.letters.update(zip(chr(n).encode("utf-8"), pieces[0][0], strict=True))
         self.blank = self.tok.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.forget()
 
@@ -140,22 +151,26 @@ class UnitEncoder:
         self.start, self.count, self.hits = np.cumsum(count) - count, count, self.hits[keep] // 2
 
     def _encode_new(self) -> None:
-        stems = self.codes.new[:]
-        first = len(self.count)
-        # Letters before a last stop or comma are a unit; the stop or comma has its own piece.
-        tails = [(first + i, self.codes[k[:-1]], self.codes[RAW + k[-1]]) for i, k in enumerate(stems) if len(k) > 1 and k[-1] in ".," and k[:-1].isalpha()]
+        codes, first = self.codes, len(self.count)
+        # Letters before last marks are a unit; the marks have their own piece.
+        tails, done = [], set()
+        for i, key in enumerate(codes.new[:], first):
+            if key[-1:] in MARKS:
+                stem = key.rstrip(MARKS)
+                if stem and len(stem) < len(key) and stem.isalpha() and max(stem) < LATIN_END:
+                    tails.append((i, codes[stem], codes[RAW + key[len(stem) :]]))
+                    done.add(i)
         new, self.codes.new = self.codes.new, []
         self.start, self.count, self.hits = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.start, self.count, self.hits))
         self.made, self.size = [], len(self.ids)
-        done = {t[0] for t in tails}
         words, blanks, raws = [], [], []
         for i, key in enumerate(new, first):
             if i not in done:
                 # Letters alone are one piece, which the model takes as it is.
-                (words if key.isascii() and key.isalpha() else raws if key[:1] == RAW or key == "\n" else blanks).append(i)
+                (words if key.isalpha() and (key.isascii() or not self.offsets and max(key) < LATIN_END) else raws if key[:1] == RAW or key == "\n" else blanks).append(i)
         if words:
-            tokenize, blank = self.model.tokenize, self.blank
-            found = [tokenize(blank + new[i - first]) for i in words]
+            tokenize, blank, spell = self.model.tokenize, self.blank, self._spell
+            found = [tokenize(blank + spell(new[i - first])) for i in words]
             flat = [t for ts in found for t in ts]
             # The model counts bytes, of which the blank's stand-in has two.
             at = np.maximum(np.array([t.offsets for t in flat] if self.offsets else [], np.int32).reshape(-1, 2) - 1, 0)
@@ -190,15 +205,21 @@ class UnitEncoder:
             self.end = np.concatenate([self.end, *[x[2] for x in self.made]])
         if tails:
             which, stem, tail = (np.array(x) for x in zip(*tails, strict=True))
-            n = self.count[stem]
-            at = gather(self.start[stem], n)
-            ends = np.cumsum(n)
-            self.start[which], self.count[which] = len(self.ids) + ends - n + np.arange(len(n)), n + 1
+            both = np.stack([stem, tail], 1).ravel()
+            n = self.count[both]
+            at = gather(self.start[both], n)
+            whole = n[::2] + n[1::2]
             if self.offsets:
-                length = self.end[self.start[stem] + n - 1]
-                self.begin = np.concatenate([self.begin, np.insert(self.begin[at], ends, length)])
-                self.end = np.concatenate([self.end, np.insert(self.end[at], ends, length + 1)])
-            self.ids = np.concatenate([self.ids, np.insert(self.ids[at], ends, self.ids[self.start[tail]])])
+                length = self.end[self.start[stem] + n[::2] - 1]
+                shift = np.repeat(np.stack([np.zeros_like(length), length], 1).ravel(), n)
+                self.begin = np.concatenate([self.begin, self.begin[at] + shift])
+                self.end = np.concatenate([self.end, self.end[at] + shift])
+            self.start[which], self.count[which] = len(self.ids) + np.cumsum(whole) - whole, whole
+            self.ids = np.concatenate([self.ids, self.ids[at]])
+
+    def _spell(self, word: str) -> str:
+        """The word as the model reads it: a character for each byte."""
+        return word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters)
 
     def _run(self, texts: list[str]):
         return (self.tok.encode_batch if self.offsets else self.tok.encode_batch_fast)(texts, add_special_tokens=False)
