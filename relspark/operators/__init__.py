@@ -1 +1 @@
-
+"""Operators that Spark lacks: folds, samples, fixpoints."""

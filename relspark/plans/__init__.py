@@ -1 +1 @@
-
+"""From programs to DataFrames."""

@@ -1 +1 @@
-
+"""The language has no streams; nothing is here."""
