@@ -53,6 +53,13 @@ class Catalog:
     def register(self, key: str, df: DataFrame) -> None:
         self.frames[relation_key(key)] = df
 
+    def register_sql(self, key: str, query: str, url: str | None = None, **options) -> None:
+        """A relation that is the result of a SQL string: of Spark's own, or, with ``url``, of a database by JDBC, which runs the query."""
+        if url is None:
+            self.register(key, self.spark.sql(query))
+        else:
+            self.register(key, self.spark.read.format("jdbc").options(url=url, query=query, **options).load())
+
     def path(self, key: str) -> str:
         return str(PurePosixPath(key.replace(":", "__")))
 

@@ -278,3 +278,28 @@ def test_dead_loops_do_not_run(spark):
 
 def test_schema_types(spark, tables):
     assert isinstance(Session(spark, tables).query("e = scan(employee); x = [from e emit ceil(salary) as c, len(name) as l];", "x").schema["l"].dataType, S.LongType)
+
+
+def test_sql_relation(spark):
+    s = Session(spark, {})
+    s.catalog.register_sql("q", "SELECT id, id * 2 AS twice FROM range(3)")
+    assert Counter(map(tuple, s.query("q = scan(q); out = [from q where id > 0 emit *];", "out").collect())) == Counter([(1, 2), (2, 4)])
+
+
+def test_functions_from_python(spark, tables):
+    s = Session(spark, tables)
+    s.register_function("shout", lambda v: v.upper() + "!", "STRING")
+    s.register_expression("gap", lambda a, b: abs(a - b), ("a", "b"))
+    got = s.query("e = scan(employee); out = [from e where id = 1 emit shout(name) as n, gap(salary, 30000) as g];", "out").collect()
+    assert [tuple(r) for r in got] == [("BILL HOWE!", 5000)]
+
+
+def test_explain_shows_pushed_filters(spark, tmp_path, tables):
+    tables["employee"].write.parquet(str(tmp_path / "employee.parquet"))
+    plan = Session(spark, root=str(tmp_path)).explain("e = scan(employee); out = [from e where salary > 30000 emit id];", "out")
+    assert "PushedFilters: [IsNotNull(salary), GreaterThan(salary,30000)]" in plan and "ReadSchema: struct<id:bigint,salary:bigint>" in plan
+
+
+def test_equality_over_a_product_is_a_join(spark, tables):
+    plan = Session(spark, tables).explain("e = scan(employee); d = scan(department); out = [from e, d where e.dept_id = d.id emit e.id];", "out")
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
