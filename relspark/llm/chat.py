@@ -12,7 +12,7 @@ escaped assistant texts.
 
 Defined cases: null roles and texts are empty; a null conversation id is a conversation of its own; a parent that is null, missing
 or not smaller than the node itself makes the node a root, so there are no cycles; of rows with the same node id the first
-by role and text stays; rows with equal turns follow each other in order of role and text; repeated turns all stay; an
+by role and text stays; rows with a null node id take no part; rows with equal turns follow each other in order of role and text; repeated turns all stay; an
 empty table gives an empty result; other columns are ignored. A conversation is one output row, so it must fit in one.
 """
 
@@ -57,7 +57,7 @@ def reply_paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     ``branches``: how many paths of a conversation to choose; None for all.
     """
     first = F.struct("role", "text", "parent", "score", "conv")
-    nodes = nodes.withColumn("_k", _key(F.col("conv"))).withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+    nodes = nodes.filter("node is not null").withColumn("_k", _key(F.col("conv"))).withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
     nodes = checkpoint(nodes.groupBy("_k", "node").agg(F.min(first).alias("_v")).select("_k", "node", "_v.*"))
     ids = nodes.select("_k", "node", F.when(F.col("parent") < F.col("node"), F.col("parent")).alias("up"))
     known = ids.select("_k", F.col("node").alias("up"))

@@ -102,10 +102,10 @@ def resample(x: np.ndarray) -> np.ndarray:
 def log_mel(y: np.ndarray) -> np.ndarray:
     """Frames x MELS of log10 energies; frames overlap by FRAME - HOP samples; a short signal is padded to one frame."""
     y = np.concatenate([y, np.zeros(max(0, FRAME - len(y)), np.float32)])
-    frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP] * WINDOW
+    frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     out = np.empty((len(frames), MELS), np.float32)
     for i in range(0, len(frames), 2048):
-        spectrum = np.fft.rfft(frames[i : i + 2048], FFT)
+        spectrum = np.fft.rfft(frames[i : i + 2048] * WINDOW, FFT)
         out[i : i + 2048] = np.log10((spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ BANK + 1e-6)
     return out
 

@@ -207,7 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, **how) ->
     return train([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], (y > 0).astype(np.int64), **how)
 
 
-def _scorer(model: dict, at: int):
+def _scorer(model: dict, at: int, name: str):
     def run(batches):
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
@@ -217,25 +217,29 @@ def _scorer(model: dict, at: int):
                 m = np.bincount(doc, weights=model["w"][place].astype(np.float64), minlength=j - i) / np.sqrt(np.maximum(n, 1)) + model["bias"]
                 score = 1 / (1 + np.exp(-np.clip(model["a"] * m + model["b"], -30, 30)))
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
 
     return run
 
 
-def with_scores(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with a column _score."""
+def with_scores(docs: DataFrame, model: dict) -> tuple[DataFrame, str]:
+    """``docs`` with a column of scores, and its name, which no other column has."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(_scorer(model, docs.columns.index("text")), schema)
+    name = "_score"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_scorer(model, docs.columns.index("text"), name), schema), name
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    out = with_scores(docs.select("doc_id", "text"), model)
+    out, _ = with_scores(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def keep(docs: DataFrame, model: dict) -> DataFrame:
     """The rows that the model doesn't reject, unchanged."""
-    return with_scores(docs, model).filter("_score >= 0.5").select(*docs.columns)
+    out, name = with_scores(docs, model)
+    return out.filter(F.col(name) >= 0.5).select(*docs.columns)
