@@ -38,7 +38,7 @@ BLANK = "▁"
 OWN_BLANK = "\U0010fffe"
 RAW = "\x00"
 FAR = -1e300
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 3_000_000
 SCHEMA = "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean, pieces array<int>"
 _WORD = re.compile(r" *[^ ]+| +$")
 
@@ -62,6 +62,46 @@ def spelled(key: str) -> str:
     return (key[1:] if key[:1] == RAW else key if key == "\n" else " " + key).replace(" ", BLANK)
 
 
+class Table:
+    """Numbers by 64-bit hashes: an open-addressing table a quarter full, probed for all keys at once."""
+
+    FREE = -2
+
+    def __init__(self, items: dict[int, int]):
+        self.shift = np.uint64(64 - max(4, (4 * len(items)).bit_length()))
+        self.mask = (1 << int(np.uint64(64) - self.shift)) - 1
+        self.keys = np.zeros(self.mask + 1, np.uint64)
+        self.values = np.full(self.mask + 1, self.FREE, np.int32)
+        for h, value in items.items():
+            at = int(self._place(np.array([h], np.uint64))[0])
+            while self.values[at] != self.FREE:
+                at = (at + 1) & self.mask
+            self.keys[at], self.values[at] = h, value
+
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The value of each hash, FREE where there is none."""
+        at = self._place(h)
+        out = self.values[at]
+        todo = np.flatnonzero((self.keys[at] != h) & (out != self.FREE))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            own = at[todo]
+            out[todo] = self.values[own]
+            todo = todo[(self.keys[own] != h[todo]) & (out[todo] != self.FREE)]
+        return out
+
+
+class _Codes(dict):
+    """word -> number, in order of first sight."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Vocabulary:
     """Pieces by the hashes of their prefixes."""
 
@@ -98,11 +138,8 @@ class Vocabulary:
                 h = (h * int(self.B) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
                 longest.setdefault(k, {}).setdefault(h, -1)
             longest[len(piece)][h] = i
-        #: By length: sorted hashes of prefixes, and the piece that each is, or -1.
-        self.tables = []
-        for k in range(1, max(longest) + 1):
-            items = sorted(longest[k].items())
-            self.tables.append((np.array([x[0] for x in items], np.uint64), np.array([x[1] for x in items], np.int32)))
+        #: By length: prefixes' hashes, and the piece that each is, or -1.
+        self.tables = [Table(longest[k]) for k in range(1, max(longest) + 1)]
         self.spell_len = np.array([len(s) for s in self.spelling], np.int64)
         self.spell_start = np.cumsum(self.spell_len) - self.spell_len
         self.spell_bytes = np.frombuffer(b"".join(self.spelling), np.uint8)
@@ -143,16 +180,15 @@ class Lattice:
         alive = np.arange(len(chars))
         h = np.zeros(len(chars), np.uint64)
         single = np.zeros(len(chars), bool)
-        for k, (hashes, ids) in enumerate(vocab.tables, 1):
+        for k, table in enumerate(vocab.tables, 1):
             alive = alive[left[alive] >= k]
             if not len(alive):
                 break
             now = h[alive] * vocab.B + chars[alive + (k - 1)] + np.uint64(1)
-            at = np.minimum(np.searchsorted(hashes, now), len(hashes) - 1)
-            hit = hashes[at] == now
-            alive, now, at = alive[hit], now[hit], at[hit]
-            h[alive] = now
-            piece = ids[at]
+            piece = table.find(now)
+            hit = np.flatnonzero(piece != Table.FREE)
+            alive, piece = alive[hit], piece[hit]
+            h[alive] = now[hit]
             real = piece >= 0
             src = alive[real]
             sources.append(src)
@@ -177,6 +213,7 @@ class Lattice:
             e0, e1 = self.first[a], self.first[b]
             back[a:b] = np.logaddexp.reduceat(score[e0:e1] + back[self.target[e0:e1]], self.first[a:b] - e0)
         self.log_p = np.minimum(score + back[self.target] - back[source], 0.0)
+        self._likeliest_first()
         p = np.exp(self.log_p)
         cum = np.cumsum(p)
         begin = self.first[source]
@@ -191,6 +228,15 @@ class Lattice:
         self.p, self.source = p, source
         self.root = np.where(length > 0, number[np.minimum(ends - length, max(len(chars) - 1, 0))] if len(chars) else end_node, end_node)
 
+    def _likeliest_first(self) -> None:
+        """Put each node's likeliest edge before its others, where a draw most often ends."""
+        begin = self.first[:-1][self.first[1:] > self.first[:-1]]
+        top = np.maximum.reduceat(self.log_p, begin) if len(begin) else np.zeros(0)
+        hit = np.flatnonzero(self.log_p == np.repeat(top, np.diff(np.append(begin, len(self.log_p)))))
+        best = hit[np.searchsorted(hit, begin)]
+        for values in (self.target, self.piece, self.log_p):
+            values[begin], values[best] = values[best], values[begin].copy()
+
     def descend(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward samples from the nodes to their words' ends: (edges of each, in order and joined, number of each)."""
         at = np.flatnonzero(node >= self.ends)
@@ -199,7 +245,9 @@ class Lattice:
         count = np.zeros(len(key) if not len(at) else int(at[-1]) + 1, np.int64)
         s = 0
         while len(at):
-            edge = np.searchsorted(self.cum, node + draw(key, s), "right")
+            edge, u = self.first[node], draw(key, s)
+            other = np.flatnonzero(u >= self.p[edge])
+            edge[other] = np.searchsorted(self.cum, node[other] + u[other], "right")
             steps.append((at, edge))
             count[at] += 1
             node = self.target[edge]
@@ -236,15 +284,16 @@ def _below(bound, mu, u):
 
 def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples in order: (piece ids, log probability, perturbed log probability, inclusion probability)."""
-    code: dict[str, int] = {}
-    flat: list[int] = []
+    code = _Codes()
+    flat: list[str] = []
     n = np.empty(len(texts), np.int64)
     for i, text in enumerate(texts):
         own = cut(text) if text else []
-        flat += [code.setdefault(w, len(code)) for w in own]
+        flat += own
         n[i] = len(own)
+    codes = np.fromiter(map(code.__getitem__, flat), np.int64, len(flat))
     lat = Lattice(vocab, [spelled(w) for w in code] or [""])
-    root = lat.root[np.array(flat, np.int64)] if flat else np.zeros(0, np.int64)
+    root = lat.root[codes]
     last = np.cumsum(n)
     first = last - n
     row = np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64)
