@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import PurePosixPath
 from typing import NamedTuple
 
@@ -76,10 +77,14 @@ class Catalog:
             return self.spark.table(table)
         raise NoSuchRelation(key)
 
+    def _file_system(self, file: str):
+        """(file system, path) of a file name."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def _exists(self, file: str) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        fs, path = self._file_system(file)
+        return fs.exists(path)
 
     def store(self, key: str, df: DataFrame, how: str | None = None, columns: list[str] = ()) -> None:
         """Overwrite a relation; with ``root`` as Parquet there, else as a registered DataFrame. HASH deals rows out by the columns; a relation stored with BROADCAST is hinted where it is read."""
@@ -88,7 +93,11 @@ class Catalog:
         elif how == "round_robin":
             df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
         if self.root:
-            path = f"{self.root}/{self.path(key)}"
-            df.write.mode("overwrite").parquet(path)
+            path, fresh = f"{self.root}/{self.path(key)}", f"{self.root}/.{self.path(key)}-{uuid.uuid4().hex}"
+            # Written aside first: the rows may come from the very relation that is overwritten.
+            df.write.parquet(fresh)
+            fs, old = self._file_system(path)
+            fs.delete(old, True)
+            fs.rename(self._file_system(fresh)[1], old)
             df = df.sparkSession.read.schema(df.schema).parquet(path)
         self.register(key, df.hint("broadcast") if how == "broadcast" else df)

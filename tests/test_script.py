@@ -303,3 +303,9 @@ def test_explain_shows_pushed_filters(spark, tmp_path, tables):
 def test_equality_over_a_product_is_a_join(spark, tables):
     plan = Session(spark, tables).explain("e = scan(employee); d = scan(department); out = [from e, d where e.dept_id = d.id emit e.id];", "out")
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_store_over_its_own_source(spark, tables, tmp_path):
+    tables["numbers"].write.parquet(str(tmp_path / "a__b__n"))
+    Session(spark, root=str(tmp_path)).run("n = scan(a:b:n); m = [from n emit id + 1 as id, val]; store(m, a:b:n);")
+    assert Counter(map(tuple, spark.read.parquet(str(tmp_path / "a__b__n")).collect())) == Counter((i + 1, v) for i, v in NUM)
