@@ -7,7 +7,7 @@ Two texts link if the Jaccard similarity of their sets is at least 0.8.
 2. Chosen paths: a bucket (at first: all classes) splits by sampled tokens. Each class follows the tokens of its sketch whose hash
    with the bucket's path lies below 1 / (BASE * size), so two linked classes share at least one sampled token with a
    known chance at each level. The first level makes ``RUNS`` repetitions at once, which sets the recall: a linked pair stays
-   apart in all of them with probability below exp(-RUNS * 0.8 / BASE) < 1e-7. Buckets of at most ``LEAF`` classes are compared by
+   apart in all of them with probability below exp(-RUNS * 0.8 / BASE) < 2e-6. Buckets of at most ``LEAF`` classes are compared by
    brute force; larger ones split again, and after ``DEPTH`` levels are compared in pairs of blocks, so no pair of
    a bucket is ever left out. Comparing sketches leaves a spanning forest of possible links, never all pairs.
 3. Components of possible links (star contraction on DataFrames) are candidates. Their whole sets are read again and compared
@@ -31,8 +31,10 @@ from relspark.llm.units import chunks, worker_cache
 
 NGRAM, SIMILARITY = 5, 0.8
 SKETCH = 128
-RUNS, BASE, DEPTH = 16, 0.7, 4
-LEAF = 256
+RUNS, BASE, DEPTH = 12, 0.7, 3
+LEAF = 512
+#: Classes of a component whose whole sets one task compares with as many others.
+BLOCK = 256
 #: Share of the larger sketch that two sketches must have in common to be a possible link; linked sets share 0.8 at least, give or take 0.035.
 POSSIBLE = 0.66
 KEPT_WORDS = 500_000
@@ -279,7 +281,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     path = fresh_path(spark, "sets")
     same.select("w.sig", "w.comp", "w.members", "w.copies", "d.text").mapInArrow(_sets, "sig long, comp long, members int, copies long, tokens binary").write.parquet(path)
     sets = spark.read.schema("sig long, comp long, members int, copies long, tokens binary").parquet(path)
-    blocks = F.ceil(F.col("members") / LEAF).cast("int")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     sets = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(6), "sig"), F.col("blocks")).cast("int"))
     found = _pair_blocks(sets, "comp").select("comp", "bi", "bj", "sig", "block", "copies", "tokens").groupBy("comp", "bi", "bj").applyInArrow(_exact, "sig long, root long, links long")
     found = checkpoint(found)
