@@ -6,8 +6,8 @@ occurred before in the text. The vector is divided by the root of the number of
 more, and scaled by the log-count ratios of the two classes. A linear hinge-loss model on it is fitted by dual coordinate descent;
 a sigmoid, fitted on margins of rows that a first fit left out, maps margins to (0, 1).
 
-The model is fitted on at most ``sample`` labelled rows, those with the smallest hash of doc_id, so its cost doesn't grow; every whole
-text is scored. Only the text is an input.
+The model is fitted on at most ``sample`` labelled rows (whole texts, at most ``features`` indicators in all), those with the smallest
+hash of doc_id, so its cost doesn't grow; every whole text is scored. Only the text is an input.
 
 Defined cases: a null or empty text has no n-grams and gets the bias's score; null doc_ids are scored, never learnt from; a doc_id
 labelled twice counts with its smaller label; without labels of both classes the score is the share of label 1 (0.5
@@ -22,11 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from relspark.llm.common import checkpoint
 from relspark.llm.units import chunks, worker_cache
 
 BITS = 18
 DIM = 1 << BITS
 SAMPLE = 10_000
+#: Indicators that the sampled rows may have in all; rows are taken in order of hash up to this bound.
+SAMPLE_FEATURES = 40_000_000
 EPOCHS = 12
 COST = 1.0
 SMOOTH = 1.0
@@ -191,20 +194,26 @@ def _featurizer(batches):
             doc, place = features(texts[i:j])
             ends = np.searchsorted(doc, np.arange(j - i + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("quality")[i:j], lists], names=["quality", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column("draw")[i:j], batch.column("quality")[i:j], lists], names=["draw", "quality", "places"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, **how) -> dict:
-    """Fit on at most ``sample`` labelled rows that aren't held out."""
+def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, features: int = SAMPLE_FEATURES, **how) -> dict:
+    """Fit on at most ``sample`` labelled rows, and as many as have ``features`` indicators in all, that aren't held out."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     draw = F.xxhash64(F.lit(17), "doc_id")
     known = F.broadcast(known.orderBy(draw, "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").orderBy(draw, "doc_id", F.xxhash64("text")).limit(sample)
-    got = rows.mapInArrow(_featurizer, "quality int, places array<int>").toArrow()
-    y = np.array(got.column("quality").to_pylist(), np.int64)
+    rows = docs.select("doc_id", "text").join(known, "doc_id").withColumn("draw", draw).orderBy("draw", "doc_id", F.xxhash64("text")).limit(sample)
+    rows = checkpoint(rows.select("draw", "quality", "text").mapInArrow(_featurizer, "draw long, quality int, places array<int>"))
+    sizes = sorted((r[0], r[1]) for r in rows.select("draw", F.size("places")).collect())
+    within = max(int(np.searchsorted(np.cumsum([n for _, n in sizes]), features, "right")), 1)
+    if within < len(sizes):
+        rows = rows.filter(F.col("draw") < sizes[within][0])
+    got = rows.toArrow()
+    order = np.lexsort((np.asarray(got.column("quality").combine_chunks()), np.asarray(got.column("draw").combine_chunks())))
+    y = np.asarray(got.column("quality").combine_chunks())[order].astype(np.int64)
     lists = got.column("places").combine_chunks()
     ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-    return train([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], (y > 0).astype(np.int64), **how)
+    return train([flat[ends[i] : ends[i + 1]] for i in order], (y > 0).astype(np.int64), **how)
 
 
 def _scorer(model: dict, at: int, name: str):

@@ -69,3 +69,9 @@ def test_held_out_is_by_crc(spark):
 
     got = {r.doc_id: r.h for r in spark.range(200).select(F.col("id").alias("doc_id"), quality.held_out(F.col("id")).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(200)}
+
+
+def test_bound_on_features(spark, awkward):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    model = quality.learn(awkward, labels, features=30)
+    assert model["w"].any() or model["b"] is not None
