@@ -37,7 +37,7 @@ LEAF = 512
 BLOCK = 256
 #: Share of the larger sketch that two sketches must have in common to be a possible link; linked sets share 0.8 at least, give or take 0.035.
 POSSIBLE = 0.66
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 
 
 class _Words(dict):
@@ -66,10 +66,10 @@ class _Words(dict):
 
 def sets_of(texts: list[str], ngram: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     """(ends of each text's tokens, sorted unsigned 32-bit tokens of all texts, each once in its text)."""
-    cache = worker_cache()
-    words: _Words = cache.get("shingle words")
+    cache = worker_cache("shingles")
+    words: _Words = cache.get("words")
     if words is None or len(words) > KEPT_WORDS:
-        words = cache["shingle words"] = _Words()
+        words = cache["words"] = _Words()
     flat: list[str] = []
     n = np.empty(len(texts), np.int64)
     for i, text in enumerate(texts):

@@ -33,7 +33,7 @@ SAMPLE_FEATURES = 40_000_000
 EPOCHS = 12
 COST = 1.0
 SMOOTH = 1.0
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _REPEATS = re.compile(r"(.)\1+")
 
@@ -82,10 +82,10 @@ class _Words(dict):
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, place) of each indicator, sorted, each once."""
-    cache = worker_cache()
-    words: _Words = cache.get("quality words")
+    cache = worker_cache("quality")
+    words: _Words = cache.get("words")
     if words is None or len(words) > KEPT_WORDS:
-        words = cache["quality words"] = _Words()
+        words = cache["words"] = _Words()
     flat: list[str] = []
     n = np.empty(len(texts), np.int64)
     for i, text in enumerate(texts):

@@ -38,7 +38,7 @@ BLANK = "▁"
 OWN_BLANK = "\U0010fffe"
 RAW = "\x00"
 FAR = -1e300
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 2_000_000
 SCHEMA = "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean, pieces array<int>"
 _WORD = re.compile(r" *[^ ]+| +$")
 
@@ -146,10 +146,10 @@ class Vocabulary:
 
     @staticmethod
     def get(path: str, alpha: float) -> Vocabulary:
-        cache = worker_cache()
-        if ("pieces", path, alpha) not in cache:
-            cache["pieces", path, alpha] = Vocabulary(path, alpha)
-        return cache["pieces", path, alpha]
+        cache = worker_cache("pieces")
+        if (path, alpha) not in cache:
+            cache[path, alpha] = Vocabulary(path, alpha)
+        return cache[path, alpha]
 
     def bytes_of(self, char: int) -> list[int]:
         return self.byte[list((BLANK if char == ord(OWN_BLANK) else chr(char)).encode("utf-8", "surrogatepass"))].tolist()

@@ -19,7 +19,7 @@ import numpy as np
 ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]")
 CUT = re.compile(r" (?=\S)")
 #: Units kept in memory, and characters handled at a time. They bound memory, not results.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 300_000
 CHUNK_CHARS = 2_000_000
 #: Units joined to one text for the tokenizer.
 JOINED = 1000
@@ -74,9 +74,12 @@ def unit_lengths(keys: list[str]) -> np.ndarray:
     return np.where(short, n - 1, np.where(feed, 1, n + 1))
 
 
-def worker_cache() -> dict:
-    """What lives as long as a Python worker, whose tasks each get their own copy of this module."""
-    return sys.modules.setdefault("relspark_worker_cache", types.ModuleType("relspark_worker_cache")).__dict__
+def worker_cache(kind: str) -> dict:
+    """What lives as long as a Python worker, whose tasks each get their own copy of this module. Holds things of one kind: another kind's asking drops them, so that stages don't add up."""
+    kept = sys.modules.setdefault("relspark_worker_cache", types.ModuleType("relspark_worker_cache")).__dict__.setdefault("kept", {})
+    if kind not in kept:
+        kept.clear()
+    return kept.setdefault(kind, {})
 
 
 class _Codes(dict):
@@ -118,7 +121,7 @@ class UnitEncoder:
     @staticmethod
     def get(path: str, offsets: bool = False) -> UnitEncoder:
         """This worker's encoder."""
-        cache = worker_cache()
+        cache = worker_cache("units")
         if (path, offsets) not in cache:
             cache[path, offsets] = UnitEncoder(path, offsets)
         return cache[path, offsets]
