@@ -1,11 +1,12 @@
 """Token counts by section, attributed by character offsets.
 
-A whole document is encoded once. Its sections (lines with their line feeds, or any given spans) and its tokens are intervals of
-characters; both are in order, so the interval join is one merge of sorted starts for a batch of documents. A token that crosses
+A whole document is encoded once. Its sections (lines with their line feeds, given starts, or the document's fields, joined) and its tokens are
+intervals of characters; both are in order, so the interval join is one merge of sorted starts for a batch of documents. A token that crosses
 a boundary goes to one section by an explicit rule: ``first`` (that of its first character), ``last`` (that of its last
 character) or ``most`` (that holding most of its characters among these two; on a tie the first).
 
 Defined cases: a null or empty text has one empty section and no tokens; a text that ends in a line feed has an empty last section;
+given starts are taken sorted, once each, within the text, and 0 is always one;
 characters of several tokens (parts of UTF-8) count for each of them; null and repeated doc_ids are rows like others; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -27,6 +28,12 @@ def line_lengths(text: str) -> list[int]:
     return [len(p) + 1 for p in parts[:-1]] + [len(parts[-1])]
 
 
+def given_lengths(text: str, starts: list[int] | None) -> list[int]:
+    """Lengths of the sections that begin at ``starts``."""
+    at = sorted({0, *(s for s in starts or () if s is not None and 0 < s <= len(text))})
+    return [b - a for a, b in zip(at, [*at[1:], len(text)], strict=True)]
+
+
 def attribute(begin: np.ndarray, end: np.ndarray, starts: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Section of each token (by place) and whether it crosses a boundary. ``starts``: of the sections, ascending from 0."""
     a = np.searchsorted(starts, begin, "right") - 1
@@ -44,10 +51,11 @@ def _counter(path: str, rule: str):
         encoder = UnitEncoder.get(path, offsets=True)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
+            starts_of = batch.column("starts").to_pylist() if "starts" in batch.schema.names else None
             for i, j in chunks(texts):
                 part = texts[i:j]
                 _, count, begin, end = encoder.encode(part)
-                lines = [line_lengths(t) for t in part]
+                lines = [line_lengths(t) for t in part] if starts_of is None else [given_lengths(t, s) for t, s in zip(part, starts_of[i:j], strict=True)]
                 n = np.array([len(x) for x in lines], np.int64)
                 length = np.array([x for y in lines for x in y], np.int64)
                 # One more character between documents keeps empty sections at their ends apart from the next document.
@@ -55,10 +63,10 @@ def _counter(path: str, rule: str):
                 base = np.cumsum(chars) - chars
                 last = np.cumsum(n)
                 inside = np.cumsum(length) - length
-                starts = inside - np.repeat(inside[last - n], n) + np.repeat(base, n)
+                begins = inside - np.repeat(inside[last - n], n) + np.repeat(base, n)
                 shift = np.repeat(base, count)
-                where, crosses = attribute(begin + shift, end + shift, starts, rule)
-                per_section = np.bincount(where, minlength=len(starts)).astype(np.int64)
+                where, crosses = attribute(begin + shift, end + shift, begins, rule)
+                per_section = np.bincount(where, minlength=len(begins)).astype(np.int64)
                 crossing = np.bincount(np.repeat(np.arange(len(part)), count), weights=crosses, minlength=len(part)).astype(np.int64)
                 offsets = pa.array(np.concatenate([[0], last]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -69,8 +77,25 @@ def _counter(path: str, rule: str):
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "first") -> DataFrame:
-    """One row per document: n_tokens, n_sections, n_crossing (tokens over a boundary), section_tokens and section_chars in order."""
+def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", starts: str | None = None) -> DataFrame:
+    """One row per document: n_tokens, n_sections, n_crossing (tokens over a boundary), section_tokens and section_chars in order.
+
+    ``starts``: a column with the character offsets at which sections begin; by default lines are sections.
+    """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counter(tokenizer, rule), SCHEMA)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
+    if starts is not None:
+        columns.append(F.col(starts).cast("array<int>").alias("starts"))
+    return docs.select(*columns).mapInArrow(_counter(tokenizer, rule), SCHEMA)
+
+
+def count_field_tokens(docs: DataFrame, tokenizer: str, fields: list[str], rule: str = "first", joint: str = "\n") -> DataFrame:
+    """The same with the document's ``fields`` (null: empty), joined by ``joint``, as its sections, each with the joint after it."""
+    values = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    ends, at = [], F.lit(0)
+    for v in values[:-1]:
+        at = at + F.length(v) + len(joint)
+        ends.append(at)
+    whole = docs.select("doc_id", F.concat_ws(joint, *values).alias("text"), F.array(F.lit(0), *ends).alias("starts"))
+    return count_tokens(whole, tokenizer, rule, "starts")

@@ -97,3 +97,16 @@ def test_counts_by_section(spark, awkward, nothing, rule):
                 want[j if rule == "last" else i] += 1
             assert r.section_tokens == want
     assert token_counts.count_tokens(nothing, PATH).count() == 0
+
+
+def test_counts_by_field_and_starts(spark):
+    df = spark.createDataFrame([(1, "ab cd", "xyz", None), (2, None, "", "é é")], "doc_id long, title string, body string, tail string")
+    got = {r.doc_id: r for r in token_counts.count_field_tokens(df, PATH, ["title", "body", "tail"]).collect()}
+    assert got[1].section_chars == [6, 4, 0] and sum(got[1].section_tokens) == got[1].n_tokens and got[1].section_tokens[2] == 0
+    assert got[2].section_chars == [1, 1, 3] and got[2].section_tokens[2] >= 2
+    given = spark.createDataFrame([(1, "hello world again", [6, 12, 12, 99, -1]), (2, "x", None)], "doc_id long, text string, at array<int>")
+    rows = {r.doc_id: r for r in token_counts.count_tokens(given, PATH, starts="at").collect()}
+    # The blank before a word belongs to its token, which so begins in the section before.
+    assert rows[1].section_chars == [6, 6, 5] and rows[1].section_tokens == [2, 1, 0] and rows[1].n_crossing == 2 and rows[2].section_chars == [1]
+    last = {r.doc_id: r for r in token_counts.count_tokens(given, PATH, "most", "at").collect()}
+    assert last[1].section_tokens == [1, 1, 1]
