@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relspark.llm.units import chunks, gather, worker_cache
+from relspark.llm.units import byte_chunks, gather, release, worker_cache
 
 SAMPLES = 2
 ALPHA = 1.0
@@ -38,7 +38,8 @@ BLANK = "▁"
 OWN_BLANK = "\U0010fffe"
 RAW = "\x00"
 FAR = -1e300
-CHUNK_CHARS = 2_000_000
+#: Bytes of texts handled at a time; it bounds memory, not results.
+CHUNK_BYTES = 800_000
 SCHEMA = "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean, pieces array<int>"
 _WORD = re.compile(r" *[^ ]+| +$")
 
@@ -192,18 +193,20 @@ class Lattice:
             real = piece >= 0
             src = alive[real]
             sources.append(src)
-            targets.append(np.where(left[src] == k, own_end[src], number[np.minimum(src + k, len(chars) - 1)]))
-            pieces.append(piece[real].astype(np.int64))
+            targets.append(np.where(left[src] == k, own_end[src], number[np.minimum(src + k, len(chars) - 1)]).astype(np.int32))
+            pieces.append(piece[real])
             if k == 1:
                 single[src] = True
         rest = np.flatnonzero(~single)
         sources.append(rest)
         targets.append(np.where(left[rest] == 1, own_end[rest], number[np.minimum(rest + 1, len(chars) - 1)]))
         # Characters in bytes: vocab.size plus the character.
-        pieces.append(vocab.size + chars[rest].astype(np.int64))
+        pieces.append((vocab.size + chars[rest].astype(np.int64)).astype(np.int32))
         source, target, piece = number[np.concatenate(sources)], np.concatenate(targets), np.concatenate(pieces)
+        del sources, targets, pieces, alive, h
         by = np.argsort(source, kind="stable")
-        source, self.target, self.piece = source[by], target[by], piece[by]
+        source, self.target, self.piece = source[by], target[by].astype(np.int32), piece[by]
+        del target, piece, by
         score = vocab.score[np.minimum(self.piece, vocab.size)]
         self.first = np.searchsorted(source, np.arange(len(number) + 1))
         self.ends = len(words)
@@ -374,7 +377,7 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
         occs = np.array(occs, np.int64)
         sizes = last[live] - occs
         span = gather(occs, sizes)
-        node = root[span].copy()
+        node = root[span]
         node[np.cumsum(sizes) - sizes] = nodes
         key = word_keys(j, span)
         edges, count = lat.descend(node, key)
@@ -426,12 +429,12 @@ def _run(path: str, k: int, alpha: float, seed: int):
 
         vocab = Vocabulary.get(path, alpha)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            for i, j in chunks(texts, CHUNK_CHARS):
-                keys = [xxhash.xxh3_64_intdigest(str(x), seed) for x in ids[i:j]]
+            for i, j in byte_chunks(batch.column("text"), CHUNK_BYTES):
+                ids = batch.column("doc_id")[i:j].to_pylist()
+                texts = ["" if t is None else t for t in batch.column("text")[i:j].to_pylist()]
+                keys = [xxhash.xxh3_64_intdigest(str(x), seed) for x in ids]
                 rows, lists = [], []
-                for x, text, own in zip(ids[i:j], texts[i:j], sample(vocab, texts[i:j], keys, k), strict=True):
+                for x, text, own in zip(ids, texts, sample(vocab, texts, keys, k), strict=True):
                     raw = text.encode("utf-8")
                     for s, (pieces, lp, value, inclusion) in enumerate(own, 1):
                         out = expand(vocab, pieces)
@@ -442,6 +445,7 @@ def _run(path: str, k: int, alpha: float, seed: int):
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
                 cols = list(zip(*rows, strict=True)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], column], names=["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip", "pieces"])
+                release()
 
     return run
 

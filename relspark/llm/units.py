@@ -43,6 +43,30 @@ def chunks(texts: list[str], most: int = CHUNK_CHARS):
         yield first, len(texts)
 
 
+def byte_chunks(column, most: int):
+    """(first, last + 1) of runs of a string column's rows of about ``most`` bytes, found without making strings; a longer row is alone."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    first = size = 0
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
+            yield first, i
+            first, size = i, 0
+        size += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the concatenated ranges start .. start + length."""
     ends = np.cumsum(lengths)
