@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from relspark.llm.common import checkpoint, fresh_path, maybe_broadcast
-from relspark.llm.units import chunks, worker_cache
+from relspark.llm.units import byte_chunks, release, worker_cache
 
 NGRAM, SIMILARITY = 5, 0.8
 SKETCH = 128
@@ -37,7 +37,9 @@ LEAF = 512
 BLOCK = 256
 #: Share of the larger sketch that two sketches must have in common to be a possible link; linked sets share 0.8 at least, give or take 0.035.
 POSSIBLE = 0.66
-KEPT_WORDS = 250_000
+KEPT_WORDS = 200_000
+#: Bytes of texts handled at a time; it bounds memory, not results.
+CHUNK_BYTES = 1_500_000
 
 
 class _Words(dict):
@@ -97,9 +99,9 @@ def sets_of(texts: list[str], ngram: int = NGRAM) -> tuple[np.ndarray, np.ndarra
 
 
 def _texts(batch):
-    texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-    for i, j in chunks(texts):
-        yield i, j, texts[i:j]
+    for i, j in byte_chunks(batch.column("text"), CHUNK_BYTES):
+        yield i, j, ["" if t is None else t for t in batch.column("text")[i:j].to_pylist()]
+        release()
 
 
 def _sketches(batches):
@@ -176,6 +178,9 @@ def _possible(key, table):
     near = (both >= POSSIBLE * np.minimum(large, SKETCH)) & (np.minimum(n[:, None], n[None, :]) >= SIMILARITY * large)
     root = forest(near)
     hit = np.flatnonzero(root != np.arange(len(root)))
+    del both, near
+    if len(root) > LEAF // 2:
+        release()
     return pa.table({"a": sig[root[hit]], "b": sig[hit]})
 
 
@@ -195,6 +200,9 @@ def _exact(key, table):
     # Pairs within a block count where the block meets itself.
     counted = near & ((block[:, None] != block[None, :]) if bi != bj else True)
     links = counted @ copies
+    del both, union, near, counted
+    if len(root) > BLOCK // 2:
+        release()
     return pa.table({"sig": sig, "root": sig[root], "links": links.astype(np.int64)})
 
 

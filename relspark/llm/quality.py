@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relspark.llm.common import checkpoint
-from relspark.llm.units import chunks, worker_cache
+from relspark.llm.units import byte_chunks, release, worker_cache
 
 BITS = 18
 DIM = 1 << BITS
@@ -33,7 +33,9 @@ SAMPLE_FEATURES = 40_000_000
 EPOCHS = 12
 COST = 1.0
 SMOOTH = 1.0
-KEPT_WORDS = 250_000
+KEPT_WORDS = 200_000
+#: Bytes of texts handled at a time; it bounds memory, not results.
+CHUNK_BYTES = 1_500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _REPEATS = re.compile(r"(.)\1+")
 
@@ -189,9 +191,8 @@ def held_out(doc_id: Column) -> Column:
 
 def _featurizer(batches):
     for batch in batches:
-        texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-        for i, j in chunks(texts):
-            doc, place = features(texts[i:j])
+        for i, j in byte_chunks(batch.column("text"), CHUNK_BYTES):
+            doc, place = features(["" if t is None else t for t in batch.column("text")[i:j].to_pylist()])
             ends = np.searchsorted(doc, np.arange(j - i + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("draw")[i:j], batch.column("quality")[i:j], lists], names=["draw", "quality", "places"])
@@ -219,14 +220,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, features:
 def _scorer(model: dict, at: int, name: str):
     def run(batches):
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
-            for i, j in chunks(texts):
-                doc, place = features(texts[i:j])
+            for i, j in byte_chunks(batch.column(at), CHUNK_BYTES):
+                doc, place = features(["" if t is None else t for t in batch.column(at)[i:j].to_pylist()])
                 n = np.bincount(doc, minlength=j - i)
                 m = np.bincount(doc, weights=model["w"][place].astype(np.float64), minlength=j - i) / np.sqrt(np.maximum(n, 1)) + model["bias"]
                 score = 1 / (1 + np.exp(-np.clip(model["a"] * m + model["b"], -30, 30)))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
+                release()
 
     return run
 

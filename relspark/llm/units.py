@@ -103,6 +103,7 @@ def worker_cache(kind: str) -> dict:
     kept = sys.modules.setdefault("relspark_worker_cache", types.ModuleType("relspark_worker_cache")).__dict__.setdefault("kept", {})
     if kind not in kept:
         kept.clear()
+        release()
     return kept.setdefault(kind, {})
 
 
