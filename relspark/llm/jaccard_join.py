@@ -246,10 +246,11 @@ def _bucket_edges(classes: DataFrame) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         counts = level.groupBy("path").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("who")).filter("m > 1")
         counts = checkpoint(counts)
-        # Buckets with the same members are one.
+        # Leaves with the same members are one, as all of their pairs are compared. Large buckets that split again are all kept: each is one more repetition.
         leaves = counts.filter(F.col("m") <= LEAF).groupBy("who", "m").agg(F.min("path").alias("path")).select("path")
         add(level.join(leaves, "path").join(sketches, "sig").groupBy("path").applyInArrow(_possible, "a long, b long"))
-        large = counts.filter(F.col("m") > LEAF).groupBy("who", "m").agg(F.min("path").alias("path")).select("path", "m")
+        large = counts.filter(F.col("m") > LEAF)
+        large = (large if depth < DEPTH else large.groupBy("who", "m").agg(F.min("path").alias("path"))).select("path", "m")
         if large.isEmpty():
             break
         held = level.join(maybe_broadcast(large), "path")

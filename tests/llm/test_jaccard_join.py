@@ -96,3 +96,16 @@ def test_components(spark):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     assert got == {n: find(n) for n in root}
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Groups of more than LEAF copies of one body with an ending of their own each: their large buckets have the same members."""
+    monkeypatch.setattr(J, "LEAF", 16)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for g in range(20):
+        body = " ".join(word() for _ in range(140))
+        rows += [(24 * g + i, f"{body} {word()}") for i in range(24)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i // 24 * 24, 23) for i, _ in rows}
