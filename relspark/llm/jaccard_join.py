@@ -4,12 +4,14 @@ A text's set holds its runs of five successive words (case and punctuation aside
 Two texts link if the Jaccard similarity of their sets is at least 0.8.
 
 1. Equal sets are one class; from here on only classes are compared. A class is known by its 128 smallest hashes (its sketch).
-2. Chosen paths: a bucket (at first: all classes) splits by sampled tokens. Each class follows the tokens of its sketch whose hash
-   with the bucket's path lies below 1 / (BASE * size), so two linked classes share at least one sampled token with a
-   known chance at each level. The first level makes ``RUNS`` repetitions at once, which sets the recall: a linked pair stays
-   apart in all of them with probability below exp(-RUNS * 0.8 / BASE) < 2e-6. Buckets of at most ``LEAF`` classes are compared by
-   brute force; larger ones split again, and after ``DEPTH`` levels are compared in pairs of blocks, so no pair of
-   a bucket is ever left out. Comparing sketches leaves a spanning forest of possible links, never all pairs.
+2. Chosen paths: each class follows the sampled tokens of its sketch, those whose hash lies below RUNS / (BASE * size). These are ``RUNS``
+   repetitions at once, and the only draw: a linked pair shares no sampled token with probability below
+   exp(-RUNS * 0.8 / BASE) < 2e-6. A bucket holds the classes that follow one token. Buckets of at most ``LEAF`` classes are compared by
+   brute force. The classes of larger ones are divided without loss: two that share a token which at most ``LEAF`` of them have are
+   compared in that token's own bucket; two that share none can be a possible link only if common tokens are at least ``POSSIBLE`` of
+   both their sketches, and such classes are compared in their larger buckets in pairs of blocks. So 2e-6 holds for all buckets, whatever
+   their size. Besides, comparing sketches (``POSSIBLE``) can miss a pair of sets larger than sketches: by the binomial tail with probability
+   1e-4 at worst, for a set with exactly 0.8 of the tokens of another that holds it all. Comparing sketches leaves a spanning forest of possible links, never all pairs.
 3. Components of possible links (star contraction on DataFrames) are candidates. Their whole sets are read again and compared
    exactly, in pairs of blocks; each comparison gives counts of links and a spanning forest of the true links.
 
@@ -31,7 +33,7 @@ from relspark.llm.units import byte_chunks, release, worker_cache
 
 NGRAM, SIMILARITY = 5, 0.8
 SKETCH = 128
-RUNS, BASE, DEPTH = 12, 0.7, 3
+RUNS, BASE = 12, 0.7
 LEAF = 512
 #: Classes of a component whose whole sets one task compares with as many others.
 BLOCK = 256
@@ -230,40 +232,44 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _bucket_edges(classes: DataFrame) -> DataFrame:
-    """Possible links (a, b) from the leaves of the chosen-path tree over ``classes`` (sig, n, sketch)."""
-    spark = classes.sparkSession
+    """Possible links (a, b) from the buckets of sampled tokens over ``classes`` (sig, n, sketch)."""
     unit = lambda *parts: F.xxhash64(*parts).cast("double") / F.lit(float(1 << 64)) + 0.5
     size = F.greatest(F.size("sketch"), F.lit(1))
     chosen = F.explode(F.filter("sketch", lambda t: unit(F.lit(0), t) < F.lit(RUNS / BASE) / size))
     level = checkpoint(classes.filter("n > 0").select("sig", "n", chosen.alias("t")).select(F.xxhash64(F.lit(1), "t").alias("path"), "sig", "n"))
     sketches = classes.select("sig", "sketch")
-    edges = None
-
-    def add(more: DataFrame) -> None:
-        nonlocal edges
-        edges = more if edges is None else edges.union(more)
-
-    for depth in range(1, DEPTH + 1):
-        counts = level.groupBy("path").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("who")).filter("m > 1")
-        counts = checkpoint(counts)
-        # Leaves with the same members are one, as all of their pairs are compared. Large buckets that split again are all kept: each is one more repetition.
-        leaves = counts.filter(F.col("m") <= LEAF).groupBy("who", "m").agg(F.min("path").alias("path")).select("path")
-        add(level.join(leaves, "path").join(sketches, "sig").groupBy("path").applyInArrow(_possible, "a long, b long"))
-        large = counts.filter(F.col("m") > LEAF)
-        large = (large if depth < DEPTH else large.groupBy("who", "m").agg(F.min("path").alias("path"))).select("path", "m")
-        if large.isEmpty():
-            break
-        held = level.join(maybe_broadcast(large), "path")
-        if depth < DEPTH:
-            rows = held.join(sketches, "sig")
-            rows = rows.select("path", "sig", "n", F.explode(F.filter("sketch", lambda t: unit(F.col("path"), t) < F.lit(1 / BASE) / size)).alias("t"))
-            level = checkpoint(rows.select(F.xxhash64("path", "t").alias("path"), "sig", "n").distinct())
-        else:
-            blocks = F.ceil(F.col("m") / LEAF).cast("int")
-            rows = held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "sig"), F.col("blocks")).cast("int"))
-            rows = _pair_blocks(rows, "path").join(sketches, "sig")
-            add(rows.groupBy("path", "bi", "bj").applyInArrow(_possible, "a long, b long"))
-    return edges if edges is not None else spark.createDataFrame([], "a long, b long")
+
+    def sizes(rows: DataFrame) -> DataFrame:
+        return checkpoint(rows.groupBy("path").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("who")).filter("m > 1"))
+
+    def distinct(counts: DataFrame) -> DataFrame:
+        """Buckets with the same members are one, as all pairs of each are compared."""
+        return counts.groupBy("who", "m").agg(F.min("path").alias("path")).select("path", "m")
+
+    def leaves(rows: DataFrame, counts: DataFrame) -> DataFrame:
+        small = distinct(counts.filter(F.col("m") <= LEAF)).select("path")
+        return rows.join(small, "path").join(sketches, "sig").groupBy("path").applyInArrow(_possible, "a long, b long")
+
+    counts = sizes(level)
+    edges = leaves(level, counts)
+    large = counts.filter(F.col("m") > LEAF).select("path")
+    if large.isEmpty():
+        return edges
+    held = checkpoint(level.join(maybe_broadcast(large), "path"))
+    # All tokens of the classes in larger buckets; their rare tokens make leaves that hold every pair sharing one.
+    tokens = held.select("sig", "n").distinct().join(sketches, "sig")
+    tokens = checkpoint(tokens.select(F.explode("sketch").alias("t"), "sig", "n", F.size("sketch").alias("size")).withColumn("path", F.xxhash64(F.lit(2), "t")).drop("t"))
+    counts = sizes(tokens)
+    edges = edges.union(leaves(tokens.select("path", "sig", "n"), counts))
+    # Pairs that share none: classes with enough common tokens, within the larger buckets.
+    common = tokens.join(maybe_broadcast(counts.filter(F.col("m") > LEAF).select("path")), "path")
+    rest = common.groupBy("sig", "size").agg(F.count("*").alias("common")).filter(F.col("common") >= F.lit(POSSIBLE) * F.col("size")).select("sig")
+    held = checkpoint(held.join(rest, "sig"))
+    rows = held.join(maybe_broadcast(distinct(sizes(held))), "path")
+    blocks = F.ceil(F.col("m") / LEAF).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "sig"), F.col("blocks")).cast("int"))
+    rows = _pair_blocks(rows, "path").join(sketches, "sig")
+    return edges.union(rows.groupBy("path", "bi", "bj").applyInArrow(_possible, "a long, b long"))
 
 
 def _pair_blocks(rows: DataFrame, key: str) -> DataFrame:

@@ -109,3 +109,16 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
         rows += [(24 * g + i, f"{body} {word()}") for i in range(24)]
     got = {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: (i // 24 * 24, 23) for i, _ in rows}
+
+
+def test_short_texts_in_large_groups(spark, monkeypatch):
+    """Texts of eight words, each with more than LEAF copies that have a ninth word: linked pairs share four of five runs, all in large buckets."""
+    monkeypatch.setattr(J, "LEAF", 16)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for g in range(40):
+        head = " ".join(word() for _ in range(8))
+        rows += [(50 * g + i, f"{head} {word()}" if i else head) for i in range(50)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i // 50 * 50, 1 if i % 50 else 49) for i, _ in rows}
