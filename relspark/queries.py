@@ -119,6 +119,9 @@ _EDGES_SQL = "edges AS (SELECT DISTINCT o_custkey // 10 AS src, l_suppkey // 10
 script("reachable", _EDGES + """ R = [1 as addr]; Delta = R;
     do New = distinct([from Delta, Edge where Delta.addr == Edge.src emit Edge.dst as addr]); Delta = diff(New, R); R = unionall(Delta, R); while [from countall(Delta) as size emit *size > 0]; out = R;""",
        f"WITH RECURSIVE {_EDGES_SQL}, r(addr) AS (SELECT 1::BIGINT UNION SELECT dst FROM r JOIN edges ON addr = src) SELECT addr FROM r")
+# The same over all customer-supplier pairs; tested against brute force.
+script("reachable_all", """l = scan(lineitem); o = scan(orders); Edge = distinct([from o, l where o_orderkey = l_orderkey emit o_custkey as src, l_suppkey as dst]);
+    R = [1 as addr]; Delta = R; do New = distinct([from Delta, Edge where Delta.addr == Edge.src emit Edge.dst as addr]); Delta = diff(New, R); R = unionall(Delta, R); while [from countall(Delta) as size emit *size > 0]; out = R;""")
 _PAIRS = "s = scan(supplier); c = scan(customer); Link = [from s as a, s as b where b.s_suppkey = a.s_suppkey + 7 and a.s_nationkey % 3 > 0 emit a.s_suppkey as x, b.s_suppkey as y];"
 _PAIRS_SQL = "links AS (SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 7 WHERE a.s_nationkey % 3 > 0)"
 script("connected_components", _PAIRS + """ Both = Link + [from Link emit y as x, x as y];
@@ -156,6 +159,7 @@ datalog("datalog_recursive", "Link(x, y) :- supplier(x, n1, k, b1), supplier(y,
         "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE a.s_nationkey < 3")
 
 
+
 def _python_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
     from relspark.pyexpr import column, where
 
