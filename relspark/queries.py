@@ -21,9 +21,10 @@ def script(name: str, program: str, sql: str | None = None, out: str = "out") ->
         ORACLE_SQL[name] = sql
 
 
-def datalog(name: str, program: str, head: str, sql: str) -> None:
+def datalog(name: str, program: str, head: str, sql: str | None = None) -> None:
     QUERIES[name] = lambda spark, sf_dir: run_datalog(Session(spark, root=sf_dir), program)[head]
-    ORACLE_SQL[name] = sql
+    if sql:
+        ORACLE_SQL[name] = sql
 
 
 script("scan_project", "o = scan(orders); out = [from o emit o_orderkey, o_totalprice * 1.1 as gross, o_orderstatus];",
@@ -131,6 +132,12 @@ script("transitive_closure", _PAIRS + " do P = [x, y] <- Link + [from P, Link wh
        f"WITH RECURSIVE {_PAIRS_SQL}, r(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, links.y FROM r JOIN links ON r.y = links.x) SELECT x, y FROM r")
 script("recursive_count", _PAIRS + " do Seen = [v, count(*) as n] <- [from Link emit x as v] + [from Seen, Link where Seen.n >= 1 and Seen.v = Link.x emit Link.y as v]; until convergence; out = Seen;",
        f"WITH RECURSIVE {_PAIRS_SQL}, t AS (SELECT v FROM (SELECT x AS v FROM links UNION SELECT y FROM links)) SELECT v, (coalesce(a.n, 0) + coalesce(b.n, 0))::BIGINT AS n FROM t LEFT JOIN (SELECT x AS v, count(*) AS n FROM links GROUP BY x) a USING (v) LEFT JOIN (SELECT y AS v, count(*) AS n FROM links GROUP BY y) b USING (v)")
+# The same over all links and nations, so chains run through all suppliers; tested against brute force.
+_LINKS = "s = scan(supplier); Link = [from s as a, s as b where b.s_suppkey = a.s_suppkey + 7 emit a.s_suppkey as x, b.s_suppkey as y];"
+script("connected_components_all", _LINKS + """ Both = Link + [from Link emit y as x, x as y];
+    do C = [v, min(c) as c] <- [from s emit s_suppkey as v, s_suppkey as c] + [from C, Both where C.v = Both.x emit Both.y as v, C.c as c]; until convergence sync; out = C;""")
+script("transitive_closure_all", _LINKS + " do P = [x, y] <- Link + [from P, Link where P.y = Link.x emit P.x as x, Link.y as y]; until convergence; out = P;")
+script("recursive_count_all", _LINKS + " do Seen = [v, count(*) as n] <- [from Link emit x as v] + [from Seen, Link where Seen.n >= 1 and Seen.v = Link.x emit Link.y as v]; until convergence; out = Seen;")
 _RANK = """E = [from s as a, s as b where b.s_suppkey = a.s_suppkey + 1 emit a.s_suppkey as src, b.s_suppkey as dst] + [from s where s_suppkey > 1 emit s_suppkey as src, 1 as dst] + [from s where s_suppkey = 1 emit s_suppkey as src, s_suppkey as dst];"""
 script("pagerank_fixed", "s = scan(supplier); " + _RANK + """ N = [from s emit count(*) as n]; D = [from E emit src, count(dst) as d]; P = [from s emit s_suppkey as id, 1.0 / *N as rank, 0 as i];
     do Share = [from P, D, E where P.id = D.src and E.src = P.id emit E.dst as id, P.rank / D.d as r, P.i as i]; P = [from Share emit id, 0.15 / *N + 0.85 * sum(r) as rank, max(i) + 1 as i]; while [from P emit max(i) < 3];
@@ -158,6 +165,7 @@ datalog("datalog_triangle", "E(a, b) :- supplier(a, n1, k, b1), supplier(b, n2,
 datalog("datalog_recursive", "Link(x, y) :- supplier(x, n1, k, b1), supplier(y, n2, k, b2), x < y, k < 3. Path(x, y) :- Link(x, y). Path(x, z) :- Path(x, y), Link(y, z).", "Path",
         "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE a.s_nationkey < 3")
 
+datalog("datalog_recursive_all", "Link(x, y) :- supplier(x, n1, k, b1), supplier(y, n2, k, b2), x < y. Path(x, y) :- Link(x, y). Path(x, z) :- Path(x, y), Link(y, z).", "Path")
 
 
 def _python_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
