@@ -8,8 +8,8 @@ Two texts link if the Jaccard similarity of their sets is at least 0.8.
    repetitions at once, and the only draw: a linked pair shares no sampled token with probability below
    exp(-RUNS * 0.8 / BASE) < 2e-6. A bucket holds the classes that follow one token. Buckets of at most ``LEAF`` classes are compared by
    brute force. The classes of larger ones are divided without loss: two that share a token which at most ``LEAF`` of them have are
-   compared in that token's own bucket; two that share none can be a possible link only if common tokens are at least ``POSSIBLE`` of
-   both their sketches, and such classes are compared in their larger buckets in pairs of blocks. So 2e-6 holds for all buckets, whatever
+   compared in the bucket of the rarest one; two that share none can be a possible link only if common tokens are at least ``POSSIBLE`` of
+   both their sketches, and such classes are compared in pairs of blocks, all blocks that meet in a larger bucket. So 2e-6 holds for all buckets, whatever
    their size. Besides, comparing sketches (``POSSIBLE``) can miss a pair of sets larger than sketches: by the binomial tail with probability
    1e-4 at worst, for a set with exactly 0.8 of the tokens of another that holds it all. Comparing sketches leaves a spanning forest of possible links, never all pairs.
 3. Components of possible links (star contraction on DataFrames) are candidates. Their whole sets are read again and compared
@@ -256,20 +256,28 @@ def _bucket_edges(classes: DataFrame) -> DataFrame:
     if large.isEmpty():
         return edges
     held = checkpoint(level.join(maybe_broadcast(large), "path"))
-    # All tokens of the classes in larger buckets; their rare tokens make leaves that hold every pair sharing one.
-    tokens = held.select("sig", "n").distinct().join(sketches, "sig")
-    tokens = checkpoint(tokens.select(F.explode("sketch").alias("t"), "sig", "n", F.size("sketch").alias("size")).withColumn("path", F.xxhash64(F.lit(2), "t")).drop("t"))
-    counts = sizes(tokens)
-    edges = edges.union(leaves(tokens.select("path", "sig", "n"), counts))
-    # Pairs that share none: classes with enough common tokens, within the larger buckets.
-    common = tokens.join(maybe_broadcast(counts.filter(F.col("m") > LEAF).select("path")), "path")
-    rest = common.groupBy("sig", "size").agg(F.count("*").alias("common")).filter(F.col("common") >= F.lit(POSSIBLE) * F.col("size")).select("sig")
-    held = checkpoint(held.join(rest, "sig"))
-    rows = held.join(maybe_broadcast(distinct(sizes(held))), "path")
-    blocks = F.ceil(F.col("m") / LEAF).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "sig"), F.col("blocks")).cast("int"))
-    rows = _pair_blocks(rows, "path").join(sketches, "sig")
-    return edges.union(rows.groupBy("path", "bi", "bj").applyInArrow(_possible, "a long, b long"))
+    # Tokens of the classes in larger buckets, rarest first. Two classes that share ``need`` tokens have the first of these among the
+    # first size - need + 1 of both; tokens of one class alone come before ``shared``.
+    tokens = held.select("sig").distinct().join(sketches, "sig").select("sig", F.size("sketch").alias("size"), F.explode("sketch").alias("t"))
+    often = checkpoint(tokens.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1"))
+    shared = tokens.join(maybe_broadcast(often), "t").groupBy("sig").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("c", "t"))).alias("shared"))
+    shared = shared.withColumn("need", F.ceil(F.lit(POSSIBLE) * F.col("size")).cast("int")).withColumn("rare", F.filter("shared", lambda x: x.c <= LEAF))
+    shared = checkpoint(shared.filter(F.size("shared") >= F.col("need")))
+    first = F.slice("rare", F.lit(1), F.size("shared") - F.col("need") + 1)
+    rows = checkpoint(shared.select("sig", F.explode(first.getField("t")).alias("t")).select(F.xxhash64(F.lit(2), "t").alias("path"), "sig"))
+    edges = edges.union(leaves(rows.join(classes.select("sig", "n"), "sig"), sizes(rows)))
+    # Pairs that share no rare token: classes with enough common ones, within the larger buckets. Each class is in one block, of its largest
+    # bucket, and blocks that meet in a bucket are compared once.
+    held = checkpoint(held.join(shared.filter(F.size("shared") - F.size("rare") >= F.col("need")).select("sig"), "sig"))
+    counts = held.groupBy("path").agg(F.count("*").alias("m"))
+    home = held.join(maybe_broadcast(counts), "path").groupBy("sig").agg(F.first("n").alias("n"), F.max(F.struct("m", "path")).alias("home")).select("sig", "n", F.col("home.path").alias("home"))
+    blocks = home.groupBy("home").agg(F.ceil(F.count("*") / LEAF).alias("blocks"))
+    home = checkpoint(home.join(maybe_broadcast(blocks), "home").select("sig", "n", F.xxhash64("home", F.pmod(F.xxhash64(F.lit(5), "sig"), F.col("blocks"))).alias("block")))
+    at = checkpoint(held.select("path", "sig").join(home.select("sig", "block"), "sig").select("path", "block").distinct())
+    pairs = checkpoint(at.select("path", F.col("block").alias("bi")).join(at.select("path", F.col("block").alias("bj")), "path").filter("bi <= bj").select("bi", "bj").distinct())
+    ends = pairs.select(F.col("bi").alias("block"), "bi", "bj").union(pairs.filter("bi < bj").select(F.col("bj").alias("block"), "bi", "bj"))
+    rows = home.join(ends, "block").join(sketches, "sig")
+    return edges.union(rows.groupBy("bi", "bj").applyInArrow(_possible, "a long, b long"))
 
 
 def _pair_blocks(rows: DataFrame, key: str) -> DataFrame:
