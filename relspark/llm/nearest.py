@@ -133,12 +133,13 @@ def _exhaustive(asked: np.ndarray, dim: int, k: int):
     def run(batches):
         for batch in batches:
             ids = np.asarray(batch.column("cid"))
-            order = np.argsort(ids, kind="stable")
+            low = np.asarray(batch.column("low"))
+            order = np.lexsort((ids, low))
             x = matrix(batch.column("embedding"), dim)[order]
             if len(x):
-                row, col = best(_products(asked, x), ids[order], k)
+                row, col = best(_products(asked, x), low[order], k)
                 s = _products(asked, x)[row, col]
-                yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(ids[order][col]), pa.array(s)], names=["q", "cid", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(ids[order][col]), pa.array(low[order][col]), pa.array(s)], names=["q", "cid", "low", "score"])
 
     return run
 
@@ -146,16 +147,16 @@ def _exhaustive(asked: np.ndarray, dim: int, k: int):
 def _compare(dim: int, k: int):
     def run(key, table):
         role = np.asarray(table.column("role"))
-        ids = np.asarray(table.column("cid"))
+        ids, low = np.asarray(table.column("cid")), np.asarray(table.column("low"))
         x = matrix(table.column("embedding").combine_chunks(), dim)
         on = np.flatnonzero(role == 0)
-        on = on[np.argsort(ids[on], kind="stable")]
+        on = on[np.lexsort((ids[on], low[on]))]
         asked = np.flatnonzero(role == 1)
         out_q, out_c, out_s = [], [], []
         for i in range(0, len(asked), 512) if len(on) else ():
             part = asked[i : i + 512]
             s = _products(x[part], x[on])
-            row, col = best(s, ids[on], k)
+            row, col = best(s, low[on], k)
             out_q.append(ids[part][row])
             out_c.append(ids[on][col])
             out_s.append(s[row, col])
@@ -184,7 +185,7 @@ def fit_block(places: dict[int, np.ndarray], asked: dict[int, np.ndarray], truth
 
 
 def classes_of(vectors: DataFrame, asks, keep: int) -> tuple[DataFrame, DataFrame]:
-    """(cid, embedding, asks: whether a member is a query; cid, vec_id of the ``keep`` smallest members of each class)."""
+    """(cid, embedding, asks: whether a member is a query, low: the smallest vec_id; cid, vec_id of the ``keep`` smallest members of each class)."""
     e = F.col("embedding")
     fit = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & fit)
@@ -192,7 +193,7 @@ def classes_of(vectors: DataFrame, asks, keep: int) -> tuple[DataFrame, DataFram
     if length is None:
         return None, None
     rows = rows.filter(F.size("embedding") == length[0]).withColumn("cid", F.xxhash64("embedding"))
-    classes = rows.groupBy("cid").agg(F.first("embedding").alias("embedding"), F.max(asks(F.col("vec_id"))).alias("asks"))
+    classes = rows.groupBy("cid").agg(F.first("embedding").alias("embedding"), F.max(asks(F.col("vec_id"))).alias("asks"), F.min("vec_id").alias("low"))
     salted = Window.partitionBy("cid", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     members = rows.select("cid", "vec_id").withColumn("_r", F.row_number().over(salted)).filter(F.col("_r") <= keep)
     members = members.withColumn("_r", F.row_number().over(Window.partitionBy("cid").orderBy("vec_id"))).filter(F.col("_r") <= keep).drop("_r")
@@ -224,8 +225,8 @@ def nearest(vectors: DataFrame, *, k: int = NEAREST, every: int = 20, curves: in
     if not drawn:
         return empty
     asked = np.array([r.embedding for r in drawn], np.float64)
-    found = classes.mapInArrow(_exhaustive(asked, dim, k + 1), "q int, cid long, score double")
-    true = found.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cid"))).filter(F.col("_r") <= k + 1).select("q", "cid").collect()
+    found = classes.mapInArrow(_exhaustive(asked, dim, k + 1), "q int, cid long, low long, score double")
+    true = found.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "low", "cid"))).filter(F.col("_r") <= k + 1).select("q", "cid").collect()
     wanted = spark.createDataFrame([(int(c),) for c in {r.cid for r in true} | {r.cid for r in drawn}], "cid long")
     at = placed.join(F.broadcast(wanted), "cid").collect()
     places, own = {}, {}
@@ -239,10 +240,10 @@ def nearest(vectors: DataFrame, *, k: int = NEAREST, every: int = 20, curves: in
     number = F.floor(F.col("place") / F.lit(block)).cast("int")
     here = placed.filter("role = 0").select("curve", number.alias("block"), "cid", "role")
     there = placed.filter("role = 1").select("curve", F.explode(F.sequence(number - reach, number + reach)).alias("block"), "cid", "role")
-    pairs = here.union(there).join(classes.select("cid", "embedding"), "cid")
+    pairs = here.union(there).join(classes.select("cid", "low", "embedding"), "cid")
     hits = pairs.groupBy("curve", "block").applyInArrow(_compare(dim, k + 1), "qid long, cid long, score double")
     hits = hits.groupBy("qid", "cid").agg(F.max("score").alias("score"))
-    # Ties between classes are settled by their members' ids below, so tied classes stay together here.
+    # Ties at the cut of a block went to the classes with the smallest vec_ids; here tied classes stay together, as their members' ids settle ties below.
     hits = hits.withColumn("_r", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("score")))).filter(F.col("_r") <= k + 1).select("qid", "cid", "score")
     queries = vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.xxhash64(F.col("embedding").cast("array<double>")).alias("qid")).filter(asks(F.col("query_id")))
     out = queries.join(hits, "qid").join(members, "cid").filter("vec_id != query_id")

@@ -60,3 +60,10 @@ def test_few_and_none(spark):
 def test_best_breaks_ties_by_id():
     row, col = N.best(np.array([[1.0, 3.0, 3.0, 3.0, 2.0]]), np.arange(5), 3)
     assert col.tolist() == [1, 2, 3]
+
+
+def test_tied_classes_go_to_the_smaller_id(spark):
+    """Different vectors with the same product with the query."""
+    rows = [(0, [1.0, 0.0])] + [(i, [0.5, i / 64]) for i in range(1, 60)]
+    df = spark.createDataFrame([(a, b, 0) for a, b in rows], SCHEMA)
+    assert result(N.nearest(df, k=4, every=1000))[0] == [(1, 0.5), (2, 0.5), (3, 0.5), (4, 0.5)]
