@@ -287,7 +287,7 @@ def _pair_blocks(rows: DataFrame, key: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, th (xxhash64 of the text), class_id (smallest doc_id of its group) and n_links (documents linked with it)."""
+    """One row per row of ``docs``: doc_id, th (xxhash64 of the text), comp (number of its group), class_id (smallest doc_id of its group) and n_links (documents linked with it)."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     path = fresh_path(spark, "sketches")
@@ -312,16 +312,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = components(found.select(F.col("root").alias("a"), F.col("sig").alias("b"))).withColumnRenamed("node", "sig")
     reps = groups.join(classes.select("sig", "rep"), "sig")
     smallest = reps.groupBy("comp").agg(F.min("rep").alias("smallest"))
-    grouped = groups.join(smallest, "comp").join(links, "sig").select("sig", "smallest", "links")
+    grouped = groups.join(smallest, "comp").join(links, "sig").select("sig", "comp", "smallest", "links")
     by_class = classes.select("sig", "copies", "rep").join(grouped, "sig", "left")
-    by_class = by_class.select("sig", F.coalesce("smallest", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("smallest", "rep").isNull().alias("_no_id"))
-    return rows.select("doc_id", "th", "sig").join(checkpoint(by_class), "sig").select("doc_id", "th", "sig", "class_id", "n_links")
+    by_class = by_class.select("sig", F.coalesce("comp", "sig").alias("comp"), F.coalesce("smallest", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("smallest", "rep").isNull().alias("_no_id"))
+    return rows.select("doc_id", "th", "sig").join(checkpoint(by_class), "sig").select("doc_id", "th", "comp", "class_id", "n_links")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each group: that with the smallest doc_id (null last; then the smallest hash of text), with all its columns."""
     near = checkpoint(near_duplicates(docs))
-    key = F.when(F.col("class_id").isNull(), F.concat(F.lit("s"), F.col("sig").cast("string"))).otherwise(F.col("class_id").cast("string"))
+    key = F.when(F.col("class_id").isNull(), F.concat(F.lit("s"), F.col("comp").cast("string"))).otherwise(F.col("class_id").cast("string"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     kept = near.groupBy(key.alias("g")).agg(F.min(first).alias("k")).select("k.doc_id", "k.th")
     many = near.groupBy("doc_id", "th").count().filter("count > 1")

@@ -122,3 +122,10 @@ def test_short_texts_in_large_groups(spark, monkeypatch):
         rows += [(50 * g + i, f"{head} {word()}" if i else head) for i in range(50)]
     got = {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: (i // 50 * 50, 1 if i % 50 else 49) for i, _ in rows}
+
+
+def test_near_copies_without_ids_keep_one(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"{body} {end}") for end in ("a", "b", "c")] + [(None, "something else"), (4, "and more")]
+    kept = J.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 3 and {r.text for r in kept} > {"something else", "and more"}
