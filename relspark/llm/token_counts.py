@@ -1,6 +1,6 @@
 """Token counts by section, attributed by character offsets.
 
-A whole document is encoded once. Its sections (lines with their line feeds, given starts, or the document's fields, joined) and its tokens are
+A whole document is encoded once (in units at whose borders the library's own pre-tokenizer cuts, see ``units``, so its tokens and offsets are those of one call). Its sections (lines with their line feeds, given starts, or the document's fields, joined) and its tokens are
 intervals of characters; both are in order, so the interval join is one merge of sorted starts for a batch of documents. A token that crosses
 a boundary goes to one section by an explicit rule: ``first`` (that of its first character), ``last`` (that of its last
 character) or ``most`` (that holding most of its characters among these two; on a tie the first).
@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relspark.llm.units import UnitEncoder, chunks
+from relspark.llm.common import spread
+from relspark.llm.units import UnitEncoder, byte_chunks, release
 
 RULES = ("first", "last", "most")
 SCHEMA = "doc_id long, n_tokens long, n_sections long, n_crossing long, section_tokens array<long>, section_chars array<long>"
@@ -50,11 +51,11 @@ def _counter(path: str, rule: str):
     def run(batches):
         encoder = UnitEncoder.get(path, offsets=True)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             starts_of = batch.column("starts").to_pylist() if "starts" in batch.schema.names else None
-            for i, j in chunks(texts):
-                part = texts[i:j]
-                _, count, begin, end = encoder.encode(part)
+            for i, j in byte_chunks(batch.column("text")):
+                column = batch.column("text")[i:j]
+                _, count, begin, end = encoder.encode(column)
+                part = ["" if t is None else t for t in column.to_pylist()]
                 lines = [line_lengths(t) for t in part] if starts_of is None else [given_lengths(t, s) for t, s in zip(part, starts_of[i:j], strict=True)]
                 n = np.array([len(x) for x in lines], np.int64)
                 length = np.array([x for y in lines for x in y], np.int64)
@@ -73,6 +74,7 @@ def _counter(path: str, rule: str):
                     [batch.column("doc_id")[i:j], pa.array(count), pa.array(n), pa.array(crossing), pa.ListArray.from_arrays(offsets, pa.array(per_section)), pa.ListArray.from_arrays(offsets, pa.array(length))],
                     names=["doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens", "section_chars"],
                 )
+                release()
 
     return run
 
@@ -87,7 +89,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", starts: s
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
     if starts is not None:
         columns.append(F.col(starts).cast("array<int>").alias("starts"))
-    return docs.select(*columns).mapInArrow(_counter(tokenizer, rule), SCHEMA)
+    return spread(docs.select(*columns)).mapInArrow(_counter(tokenizer, rule), SCHEMA)
 
 
 def count_field_tokens(docs: DataFrame, tokenizer: str, fields: list[str], rule: str = "first", joint: str = "\n") -> DataFrame:

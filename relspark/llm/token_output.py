@@ -5,7 +5,7 @@ list<int>. Ids are dictionary-encoded (a vocabulary has few distinct ids; where
 Parquet falls back to delta encoding in its version 2 pages); row groups and pages are small, and Parquet's column and
 offset indexes let a reader take one document's pages, or the counts without the ids.
 
-Rows are written in ascending order of doc_id (null first; equal ids by hash of text, then text). The tokens before a document are
+Rows are written in ascending order of doc_id (null first; equal ids by a 64-bit hash of the text). The tokens before a document are
 its part's tokens before it, stored, plus those of the parts before, a table of one row per written part.
 
 Defined cases: a null text is empty, so its only id is the end id; null and repeated doc_ids are rows like others; an empty
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from relspark.llm.common import maybe_broadcast
-from relspark.llm.units import UnitEncoder, chunks
+from relspark.llm.units import UnitEncoder, byte_chunks, release
 
 END_ID = 0
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -31,9 +31,8 @@ def _encoder(path: str, end_id: int):
     def run(batches):
         encoder, start = UnitEncoder.get(path), 0
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            for a, b in chunks(texts):
-                ids, count = encoder.encode(texts[a:b])
+            for a, b in byte_chunks(batch.column("text")):
+                ids, count = encoder.encode(batch.column("text")[a:b])
                 ends = np.cumsum(count)
                 ids = np.insert(ids, ends, end_id).astype(np.int32)
                 count = count + 1
@@ -43,6 +42,7 @@ def _encoder(path: str, end_id: int):
                     names=["doc_id", "part", "part_start", "n_tokens", "ids"],
                 )
                 start += int(offsets[-1])
+                release()
 
     return run
 
@@ -50,7 +50,7 @@ def _encoder(path: str, end_id: int):
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, row_group_bytes: int = 32 << 20, page_rows: int = 2000) -> DataFrame:
     """Encode the texts, write the files and return them as read back, with ``start``: the tokens of all documents before."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
-    rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
+    rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
     out = rows.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(_encoder(tokenizer, end_id), SCHEMA)
     write = out.write.option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows)
     write.option("parquet.enable.dictionary", "true").option("parquet.writer.version", "v2").parquet(path)
