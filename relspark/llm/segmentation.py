@@ -26,41 +26,70 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from relspark.llm.units import byte_chunks, gather, release, worker_cache
+from relspark.llm.common import spread
+from relspark.llm.units import byte_chunks, gather, release, strings, worker_cache
 
 SAMPLES = 2
 ALPHA = 1.0
 FLAT = 10.0
 BLANK = "▁"
-#: Stands for a blank mark that the text itself has.
-OWN_BLANK = "\U0010fffe"
+#: A blank mark that the text itself has gets this number, which is no character's; a blank gets the mark's.
+OWN_BLANK = 0x110000
 RAW = "\x00"
 FAR = -1e300
 #: Bytes of texts handled at a time; it bounds memory, not results.
-CHUNK_BYTES = 800_000
+CHUNK_BYTES = 1_200_000
 SCHEMA = "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean, pieces array<int>"
 _WORD = re.compile(r" *[^ ]+| +$")
+#: Texts that ``cut`` must see: empty ones, and blanks that begin, end or follow each other.
+CAREFUL = r"^$|^ | $|  |\x{00}"
 
 
 def cut(text: str) -> list[str]:
-    """Keys of the words of a non-empty text: a word without its first blank, or RAW and a word that has none."""
-    if BLANK in text:
-        text = text.replace(BLANK, OWN_BLANK)
-    if RAW in text:
-        return [RAW + " " + text]
-    if "  " not in text and text[0] != " " and text[-1] != " ":
+    """Keys of the words of a non-empty text: a word without its first blank, or RAW and the word as it is (it has no blank first, or RAW after it)."""
+    if RAW not in text and "  " not in text and text[0] != " " and text[-1] != " ":
         return text.replace("\n", " \n \x00").split(" ")
     keys = []
     for i, line in enumerate((" " + text).split("\n")):
         keys += ["\n"] * bool(i)
-        keys += [w[1:] if w[0] == " " else RAW + w for w in _WORD.findall(line)]
+        keys += [w[1:] if w[0] == " " and w[1:2] != RAW else RAW + w for w in _WORD.findall(line)]
     return keys
 
 
+class _Codes(dict):
+    """word -> number, in order of first sight."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of all texts (keys as ``cut`` gives them), the place in this list of each word, and the words of each text. Arrow cuts what only blanks and line feeds divide."""
+    column = pa.array(texts, pa.string())
+    odd = np.asarray(pc.match_substring_regex(column, CAREFUL))
+    lists = pc.split_pattern(pc.replace_substring(column.filter(pa.array(~odd)), "\n", f" \n {RAW}"), " ")
+    coded = lists.flatten().dictionary_encode()
+    words = strings(coded.dictionary)
+    n = np.zeros(len(texts), np.int64)
+    n[~odd] = np.asarray(pc.list_value_length(lists))
+    code, own = _Codes(zip(words, range(len(words)), strict=True)) if odd.any() else {}, {}
+    for i in np.flatnonzero(odd).tolist():
+        own[i] = [code[w] for w in cut(texts[i])] if texts[i] else []
+        n[i] = len(own[i])
+    start = np.cumsum(n) - n
+    codes = np.empty(int(n.sum()), np.int64)
+    codes[gather(start[~odd], n[~odd])] = np.asarray(coded.indices)
+    for i, found in own.items():
+        codes[start[i] : start[i] + n[i]] = found
+    return list(code) or words, codes, n
+
+
 def spelled(key: str) -> str:
-    return (key[1:] if key[:1] == RAW else key if key == "\n" else " " + key).replace(" ", BLANK)
+    return key[1:] if key[:1] == RAW else key if key == "\n" else " " + key
 
 
 class Table:
@@ -95,14 +124,6 @@ class Table:
         return out
 
 
-class _Codes(dict):
-    """word -> number, in order of first sight."""
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 class Vocabulary:
     """Pieces by the hashes of their prefixes."""
 
@@ -153,7 +174,7 @@ class Vocabulary:
         return cache[path, alpha]
 
     def bytes_of(self, char: int) -> list[int]:
-        return self.byte[list((BLANK if char == ord(OWN_BLANK) else chr(char)).encode("utf-8", "surrogatepass"))].tolist()
+        return self.byte[list((BLANK if char == OWN_BLANK else chr(char)).encode("utf-8", "surrogatepass"))].tolist()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of pieces as UTF-8, without the blank that encoding puts first."""
@@ -167,11 +188,14 @@ class Lattice:
     def __init__(self, vocab: Vocabulary, words: list[str]):
         length = np.array([len(w) for w in words], np.int64)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        chars[chars == ord(BLANK)] = OWN_BLANK
+        chars[chars == ord(" ")] = ord(BLANK)
         ends = np.cumsum(length)
         left = np.repeat(ends, length) - np.arange(len(chars))
         # A node for each character and one for each end, ordered by distance from the end.
         distance = np.concatenate([left, np.zeros(len(words), np.int64)])
-        order = np.argsort(distance, kind="stable")
+        # Small numbers are sorted by their digits, which is faster.
+        order = np.argsort(distance.astype(np.uint16) if len(distance) and distance.max() < 1 << 16 else distance, kind="stable")
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order))
         end_node = number[len(chars) :]
@@ -202,11 +226,19 @@ class Lattice:
         targets.append(np.where(left[rest] == 1, own_end[rest], number[np.minimum(rest + 1, len(chars) - 1)]))
         # Characters in bytes: vocab.size plus the character.
         pieces.append((vocab.size + chars[rest].astype(np.int64)).astype(np.int32))
-        source, target, piece = number[np.concatenate(sources)], np.concatenate(targets), np.concatenate(pieces)
-        del sources, targets, pieces, alive, h
-        by = np.argsort(source, kind="stable")
-        source, self.target, self.piece = source[by], target[by].astype(np.int32), piece[by]
-        del target, piece, by
+        # Edges in order of their source, then length: each list has a source once, so edges go straight to their places.
+        sources = [number[x] for x in sources]
+        degree = np.zeros(len(number), np.int64)
+        for x in sources:
+            degree[x] += 1
+        free = np.cumsum(degree) - degree
+        source = np.repeat(np.arange(len(number)), degree)
+        self.target, self.piece = np.empty(len(source), np.int32), np.empty(len(source), np.int32)
+        for x, target, piece in zip(sources, targets, pieces, strict=True):
+            at = free[x]
+            self.target[at], self.piece[at] = target, piece
+            free[x] = at + 1
+        del sources, targets, pieces, alive, h, free, degree
         score = vocab.score[np.minimum(self.piece, vocab.size)]
         self.first = np.searchsorted(source, np.arange(len(number) + 1))
         self.ends = len(words)
@@ -287,15 +319,8 @@ def _below(bound, mu, u):
 
 def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples in order: (piece ids, log probability, perturbed log probability, inclusion probability)."""
-    code = _Codes()
-    flat: list[str] = []
-    n = np.empty(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        own = cut(text) if text else []
-        flat += own
-        n[i] = len(own)
-    codes = np.fromiter(map(code.__getitem__, flat), np.int64, len(flat))
-    lat = Lattice(vocab, [spelled(w) for w in code] or [""])
+    words, codes, n = words_of(texts)
+    lat = Lattice(vocab, [spelled(w) for w in words] or [""])
     root = lat.root[codes]
     last = np.cumsum(n)
     first = last - n
@@ -452,4 +477,4 @@ def _run(path: str, k: int, alpha: float, seed: int):
 
 def segment(docs: DataFrame, model: str, *, samples: int = SAMPLES, alpha: float = ALPHA, seed: int = 11) -> DataFrame:
     """A row for each sampled segmentation of each document, best perturbed value first; ``pieces`` are ids of the vocabulary and ``round_trip`` says that they decode to the text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_run(model, samples, alpha, seed), SCHEMA)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_run(model, samples, alpha, seed), SCHEMA)

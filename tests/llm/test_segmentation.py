@@ -65,7 +65,7 @@ def test_chains_of_words(vocab):
     assert total[best[0][1]] > 0.98 * n and total[best[1][1]] > 0.8 * n
 
 
-@pytest.mark.parametrize("text", ["", "a", " a", "a ", "a  b", "   ", "\n", "\n\n a", "▁x ▁", "é\x00 b", "中文 ok  yes\tz", "a \n b", "x" * 300, "😀 😀", "\x00"])
+@pytest.mark.parametrize("text", ["", "a", " a", "a ", "a  b", "   ", "\n", "\n\n a", "▁x ▁", "é\x00 b", "中文 ok  yes\tz", "a \n b", "x" * 300, "😀 😀", "\x00", "\U0010fffe ▁ a", " \x00a \x00 \x00b\n\x00", "a\n \x00 b  "])
 def test_round_trip(vocab, text):
     for row in G.sample(vocab, [text, "between", text], [1, 2, 1], 3)[::2]:
         assert row and all(vocab.decode(G.expand(vocab, p[0])) == text.encode() for p in row)
@@ -74,6 +74,15 @@ def test_round_trip(vocab, text):
             assert all(sp.decode([int(i) for i in G.expand(vocab, p[0])]) == text for p in row)
 
 
+def test_a_zero_byte_changes_no_other_word(vocab):
+    (with_zero,) = G.sample(vocab, ["thor \x00 thor"], [5], 1)
+    words = every(vocab, "▁thor")
+    pieces = [int(p) for p in with_zero[0][0]]
+    at = next(i for i, p in enumerate(pieces) if p >= vocab.size)
+    blank = pieces[at - 1]
+    assert tuple(pieces[: at - 1]) in words and tuple(pieces[at + 1 :]) in words and vocab.spelling[blank] == b" "
+
+
 def test_batches_do_not_matter(vocab):
     texts = ["the cat", "sat on", "the mat", ""]
     whole = G.sample(vocab, texts, [1, 2, 3, 4], 3)
