@@ -1,5 +1,7 @@
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from relspark.llm import mixing
 from relspark.llm.queries import MIX_SQL, ORACLE_SQL, QUERIES
@@ -49,3 +51,38 @@ def test_inclusion_follows_rate(spark, seed):
     got = mixing.mix_sizes(df, seed=seed).groupBy("source").agg({"copies": "avg", "target": "max", "source_size": "max"}).collect()
     for r in got:
         assert abs(r["avg(copies)"] - r["max(target)"] / r["max(source_size)"]) < 2e-3
+
+
+def test_inclusion_by_size(spark):
+    """Of a source, documents with more words are likelier to be taken once more, in proportion to their weight."""
+    sizes = [1, 5, 30, 120] * 60
+    rows = [(i, "w " * n, "big") for i, n in enumerate(sizes)] + [(1000 + i, "w " * 10, s) for i in range(200) for s in ("other", "more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    sized, _ = mixing.plan_mix(df)
+    rates = {r._mix_key: r for r in mixing.source_rates(sized, mixing.source_targets(sized)).collect()}
+    r = rates["0big"]
+    runs = [mixing.mix_sizes(df, seed=str(s)).filter("source = 'big'").groupBy("size").agg(F.avg("copies").alias("n")).collect() for s in range(12)]
+    weights = {1: 2, 5: 4, 30: 8, 120: 16}
+    for size, w in weights.items():
+        p = 1.0 if r._mix_full is not None and w >= r._mix_full else r._mix_c * w
+        got = np.mean([x.n for run in runs for x in run if x["size"] == size])
+        assert abs(got - r._mix_whole - p) < 4 * np.sqrt(p * (1 - p) / (60 * 12)) + 0.02, (size, got, p)
+    assert 0 < r._mix_c * 2 < r._mix_c * 8 < 1
+
+
+def test_certain_documents_first(spark):
+    """A document so large that its chance would pass 1 is taken for certain, whatever the seed, and never more than twice."""
+    rows = [(0, "w " * 4000, "a")] + [(i, "w " * 10, "a") for i in range(1, 401)] + [(1000 + i, "w " * 10, "b") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    for seed in "xyz":
+        got = mixing.mix_sizes(df, seed=seed).filter("source = 'a'").toPandas()
+        whole = int(got.target[0] // got.source_size[0])
+        assert got[got.doc_id == 0].copies.iloc[0] == min(whole + 1, 2) and got.copies.max() <= 2
+        assert abs(got.taken.sum() - got.target[0]) <= 10
+
+
+def test_buckets_follow_the_rows(spark, small, monkeypatch):
+    want = sorted(map(repr, QUERIES["op1_mixing"](spark, small).collect()))
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(mixing, "BUCKETS", 1)
+    assert sorted(map(repr, QUERIES["op1_mixing"](spark, small).collect())) == want
