@@ -1,14 +1,17 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters rows by seeded hashes of doc_id into buckets that fit in memory: shard by rendezvous hashing (the shard whose
+Pass one scatters rows by seeded hashes into buckets that fit in memory: shard by rendezvous hashing of the doc_id (the shard whose
 hash with the doc_id is largest, so doc_id and the number of shards decide, and one more shard takes rows only into
-itself), bucket within the shard by a second hash. The number of buckets follows the total size. Pass two reads one bucket
-at a time, puts it in a fixed order, applies a Fisher-Yates shuffle seeded by the bucket, and writes it. A row's slot is its
+itself), bucket within the shard by a second hash, of all columns. The number of buckets follows the total size, and there is a task for each. Pass two
+reads one bucket at a time, puts it in a fixed order, applies a Fisher-Yates shuffle seeded by the bucket, and writes it. A row's slot is its
 place in its bucket plus the rows of the shard's buckets before it.
 
-Defined cases: a null text has size 1 (its bytes: none) and crc32 0; null doc_ids all have one shard; rows with the same doc_id
-stay in one shard but are spread over its buckets by their text; an empty table gives an empty result; other columns are
-written along, but one that is named like an output column (``law``, ``shard``, ``slot``, ``grown_shard``) is dropped.
+Rows that are equal in all columns have equal hashes. Where that makes a bucket larger than ``HOT`` buckets (a sum by bucket tells), its rows are dealt
+out by their number in the scan too; equal rows are interchangeable, so slots are repeatable over the same files.
+
+Defined cases: a null text has size 1 (its bytes: none) and crc32 0; null doc_ids all have one shard, which the law asks for; rows with the same doc_id
+stay in one shard but are spread over its buckets by their other columns; an empty table gives an empty result; other columns are
+written along, whatever their names, but one that is named like an output column (``law``, ``shard``, ``slot``, ``grown_shard``) is dropped.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from relspark.llm.common import maybe_broadcast
+from relspark.llm.common import by_place, maybe_broadcast, placed
 
 OUT = ("law", "shard", "slot", "grown_shard")
 BUCKET_BYTES = 32 << 20
+#: A bucket of more than so many times its share is one of equal rows.
+HOT = 4
 SEED = 7
 
 
@@ -38,43 +43,47 @@ def rendezvous(key: Column, shards: int, seed: int = SEED) -> Column:
 
 
 def _fisher_yates(n: int, seed: list[int]) -> np.ndarray:
-    """Fisher-Yates: from the last place on, swap with a uniformly drawn place that isn't behind it."""
+    """A uniform order of n places; numpy's shuffle is Fisher and Yates's, from the last place on."""
     at = np.arange(n)
-    draws = np.random.Generator(np.random.PCG64(seed)).random(max(n - 1, 0))
-    for k, i in enumerate(range(n - 1, 0, -1)):
-        j = int(draws[k] * (i + 1))
-        at[i], at[j] = at[j], at[i]
+    np.random.Generator(np.random.PCG64(seed)).shuffle(at)
     return at
 
 
 def _shuffler(names: list[str], seed: int):
     def run(key, table):
         bucket = key[0].as_py()
-        order = np.lexsort([np.asarray(table.column(c).combine_chunks().fill_null(0)) for c in ("_tie", "_id")])
+        order = np.lexsort([np.asarray(table.column(c).combine_chunks()) for c in ("_row", "_id")])
         at = order[_fisher_yates(table.num_rows, [seed, bucket])]
-        place = np.empty(len(at), np.int64)
-        place[:] = np.arange(len(at))
-        out = table.take(pa.array(at))
-        return out.select(names).append_column("_place", pa.array(place))
+        return table.take(pa.array(at)).select(names).append_column("_place", pa.array(np.arange(len(at))))
 
     return run
 
 
 def external_shuffle(docs: DataFrame, path: str, *, shards: int = 8, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
     """Write the rows, shuffled, under ``path`` (Parquet, a folder per shard) and return what is read back: the columns of ``docs`` with law, shard, slot, grown_shard."""
-    kept = [c for c in docs.columns if c.lower() not in OUT]
-    total = docs.agg(F.sum(text_size(F.col("text")))).first()[0] or 0
+    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in OUT])
+    rows, doc_id, text = by_place(docs), F.col(placed(docs, "doc_id")), F.col(placed(docs, "text"))
+    hashed = [F.col(f"c{i}") for i, f in enumerate(docs.schema) if "map<" not in f.dataType.simpleString()]
+    kept = rows.columns
+    total = rows.agg(F.sum(text_size(text))).first()[0] or 0
     per_shard = max(1, -(-int(total) // (shards * bucket_bytes)))
-    shard = rendezvous(F.col("doc_id"), shards, seed)
-    part = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text")), F.lit(per_shard)).cast("int")
-    rows = docs.select(*kept, shard.alias("_shard"), rendezvous(F.col("doc_id"), shards + 1, seed).alias("_grown"), part.alias("_part"), F.xxhash64("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"))
-    rows = rows.withColumn("_bucket", F.col("_shard").cast("long") * per_shard + F.col("_part"))
+    rows = rows.select(*kept, rendezvous(doc_id, shards, seed).alias("_shard"), rendezvous(doc_id, shards + 1, seed).alias("_grown"), F.xxhash64(doc_id).alias("_id"), F.xxhash64(F.lit(seed + 1), *hashed).alias("_row"))
+    bucket = lambda part: F.col("_shard").cast("long") * per_shard + part
+    own = F.pmod(F.col("_row"), F.lit(per_shard)).cast("int")
+    if per_shard > 1:
+        sums = rows.groupBy(bucket(own).alias("_hot")).agg(F.sum(text_size(text)).alias("n")).filter(F.col("n") > HOT * bucket_bytes)
+        hot = [r[0] for r in sums.select("_hot").collect()]
+        if hot:
+            more = F.pmod(F.xxhash64("_row", F.monotonically_increasing_id()), F.lit(per_shard)).cast("int")
+            own = F.when(F.array_contains(F.lit(hot), bucket(own)), more).otherwise(own)
+    rows = rows.withColumn("_part", own).withColumn("_bucket", bucket(F.col("_part")))
     names = [*kept, "_shard", "_grown", "_part"]
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in rows.select(*names).schema), T.StructField("_place", T.LongType())])
-    mixed = rows.groupBy("_bucket").applyInArrow(_shuffler(names, seed), schema)
+    mixed = rows.repartition(shards * per_shard, "_bucket").groupBy("_bucket").applyInArrow(_shuffler(names, seed), schema)
     mixed.withColumn("_in", F.col("_shard")).write.partitionBy("_in").parquet(path)
     back = docs.sparkSession.read.schema(schema).parquet(path)
     before = Window.partitionBy("_shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = back.groupBy("_shard", "_part").count().select("_shard", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     out = back.join(maybe_broadcast(counts), ["_shard", "_part"])
-    return out.select(*[out[c] for c in kept], F.lit("key").alias("law"), F.col("_shard").alias("shard"), (F.col("_start") + F.col("_place")).alias("slot"), F.col("_grown").alias("grown_shard"))
+    slot = F.col("_start") + F.col("_place")
+    return out.select(*kept, F.lit("key"), "_shard", slot, "_grown").toDF(*docs.columns, *OUT)

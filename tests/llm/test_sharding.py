@@ -36,10 +36,34 @@ def test_growth_moves_rows_only_into_the_new_shard(spark):
     assert counts.min() > 2300 and counts.max() < 2700
 
 
+def test_equal_rows_are_spread_over_the_buckets(spark):
+    """A third of all rows are equal in all columns; their shard's buckets share them, and slots are the same again."""
+    rows = [(None, "same text " * 40)] * 400 + [(i, f"text {i} " * 40) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)
+    path = fresh_path(spark, "shards")
+    out = sharding.external_shuffle(docs, path, bucket_bytes=5_000)
+    back = spark.read.parquet(path)
+    sizes = [r["count"] for r in back.groupBy("_shard", "_part").count().collect()]
+    assert max(sizes) < 60
+    slots = defaultdict(list)
+    for r in out.collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and sum(map(len, slots.values())) == 1200
+    again = sharding.external_shuffle(docs, fresh_path(spark, "shards"), bucket_bytes=5_000).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, out.collect()))
+
+
+def test_rows_that_differ_in_other_columns_keep_their_slots(spark):
+    rows = [(i % 3, "t", j) for i in range(6) for j in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more int")
+    runs = [Counter(map(tuple, sharding.external_shuffle(docs.repartition(n), fresh_path(spark, "shards")).collect())) for n in (2, 5)]
+    assert runs[0] == runs[1]
+
+
 def test_awkward_rows(spark, awkward, nothing):
     out = sharding.external_shuffle(awkward, fresh_path(spark, "shards"))
     rows = out.collect()
-    assert len(rows) == 12 and "score" in out.columns and [c for c in out.columns].count("shard") == 1
+    assert len(rows) == 12 and "score" in out.columns and "_shard" in out.columns and "_place" in out.columns and [c for c in out.columns].count("shard") == 1
     digest = out.select("doc_id", sharding.text_size(F.col("text")).alias("n"), sharding.text_crc32(F.col("text")).alias("c"), "text").collect()
     assert all(r.n == len((r.text or "").encode()) + 1 and r.c == zlib.crc32((r.text or "").encode()) for r in digest)
     assert sharding.external_shuffle(nothing, fresh_path(spark, "shards")).count() == 0
