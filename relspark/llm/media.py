@@ -1,8 +1,9 @@
 """Audio columns: texts as 8-bit audio, and features of audio.
 
-``encode`` stores a payload losslessly as the 8-bit samples of a WAV file (bytes in a column); ``decode`` reads such bytes. Features of the
-samples read: polyphase resampling by 3/4, log-mel energies of overlapping frames, cut into patches of a fixed shape, and segments of
-energy found with hysteresis (a segment starts above the upper level and ends below the lower). ``extract`` keeps the patches
+``store`` writes each payload losslessly as the 8-bit samples of a WAV file, in a binary column of Parquet files, and reads these files; ``decode`` reads such
+a column's bytes. ``extract`` computes features of the samples read: polyphase resampling by 3/4, log-mel energies of overlapping frames (zeros fill the last one), cut
+into patches of a fixed shape, and segments of
+energy found with hysteresis (a segment starts above the upper level and ends below the lower). It keeps the patches
 as an Arrow IPC stream, whose column ``patch`` has the fixed-shape tensor type and whose columns start_ms and end_ms are
 the patch's time span. A document is handled alone, so equal texts have equal values, and memory holds a few megabytes of
 texts at a time, or one document.
@@ -22,7 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relspark.llm.units import chunks
+from relspark.llm.common import spread
+from relspark.llm.units import byte_chunks
 
 RATE, UP, DOWN = 8000, 3, 4
 TAPS = 8
@@ -30,7 +32,10 @@ FRAME, HOP, FFT, MELS, PATCH = 150, 60, 256, 20, 64
 BLOCK, FILL = 576, 255
 #: Hysteresis levels in dB above the median frame.
 UPPER, LOWER = 1.5, 0.0
-SCHEMA = "doc_id long, n_bytes long, media binary, tensor binary, segments array<struct<start_ms: int, end_ms: int>>"
+#: Bytes of texts or samples handled at a time; it bounds memory, not results.
+CHUNK_BYTES = 1_000_000
+STORED = "doc_id long, n_bytes long, media binary"
+SCHEMA = f"{STORED}, tensor binary, segments array<struct<start_ms: int, end_ms: int>>"
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -100,8 +105,9 @@ def resample(x: np.ndarray) -> np.ndarray:
 
 
 def log_mel(y: np.ndarray) -> np.ndarray:
-    """Frames x MELS of log10 energies; frames overlap by FRAME - HOP samples; a short signal is padded to one frame."""
-    y = np.concatenate([y, np.zeros(max(0, FRAME - len(y)), np.float32)])
+    """Frames x MELS of log10 energies; frames overlap by FRAME - HOP samples; zeros fill the last one, so each sample is in a frame."""
+    hops = max(0, -(-(len(y) - FRAME) // HOP))
+    y = np.concatenate([y, np.zeros(hops * HOP + FRAME - len(y), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     out = np.empty((len(frames), MELS), np.float32)
     for i in range(0, len(frames), 2048):
@@ -156,23 +162,32 @@ def features(media: bytes) -> tuple[bytes, list[tuple[int, int]]]:
     return to_ipc(patches_of(mel), len(mel)), [(_ms(a), _ms(b)) for a, b in segments_of(mel)]
 
 
+def _encode(batches):
+    for batch in batches:
+        for i, j in byte_chunks(batch.column("text"), CHUNK_BYTES):
+            payloads = [payload_of(t) for t in batch.column("text")[i:j].to_pylist()]
+            columns = [batch.column("doc_id")[i:j], pa.array([n for _, n in payloads], pa.int64()), pa.array([encode(p) for p, _ in payloads], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media"])
+
+
+def store(docs: DataFrame, path: str) -> DataFrame:
+    """Write doc_id, n_bytes (of the text) and media (WAV) under ``path``, and return them as read from there."""
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows.mapInArrow(_encode, STORED).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(STORED).parquet(path)
+
+
 def _extract(batches):
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, j in chunks(["" if t is None else t for t in texts], 1_000_000):
-            rows = []
-            for text in texts[i:j]:
-                payload, n = payload_of(text)
-                media = encode(payload)
-                rows.append((n, media, *features(media)))
-            spans = pa.array([[{"start_ms": a, "end_ms": b} for a, b in r[3]] for r in rows], pa.list_(pa.struct([("start_ms", pa.int32()), ("end_ms", pa.int32())])))
-            columns = [batch.column("doc_id")[i:j], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), spans]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media", "tensor", "segments"])
+        for i, j in byte_chunks(batch.column("media"), CHUNK_BYTES):
+            found = [features(m) for m in batch.column("media")[i:j].to_pylist()]
+            spans = pa.array([[{"start_ms": a, "end_ms": b} for a, b in own] for _, own in found], pa.list_(pa.struct([("start_ms", pa.int32()), ("end_ms", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array([t for t, _ in found], pa.binary()), spans], names=["doc_id", "n_bytes", "media", "tensor", "segments"])
 
 
-def extract(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes (of the text), media (WAV), tensor (Arrow stream of fixed-shape patches with spans), segments."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_extract, SCHEMA)
+def extract(stored: DataFrame) -> DataFrame:
+    """``stored`` with tensor (Arrow stream of fixed-shape patches with spans) and segments, both of the stored samples."""
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_extract, SCHEMA)
 
 
 def feature_text(tensor: bytes, segments: list[dict]) -> str:
@@ -200,5 +215,5 @@ def _digest(batches):
 
 
 def digests(extracted: DataFrame) -> DataFrame:
-    """Digests of what ``extract`` stored, read back."""
+    """Digests of stored media and their features."""
     return extracted.mapInArrow(_digest, DIGEST)
