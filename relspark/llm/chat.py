@@ -10,7 +10,7 @@ becomes ``\\l``, ``[`` becomes ``\\b`` (and in roles a line feed ``\\n``), so no
 templates can occur in them; ``read_back`` undoes it. The loss mask is a list of spans (offsets in code points) of the
 escaped assistant texts.
 
-Defined cases: null roles and texts are empty; a null conversation id is a conversation of its own; a parent that is null, missing
+Defined cases: null roles and texts are empty; a null conversation id is a conversation of its own, other than one named "null"; a parent that is null, missing
 or not smaller than the node itself makes the node a root, so there are no cycles; of rows with the same node id the first
 by role and text stays; rows with a null node id take no part; rows with equal turns follow each other in order of role and text; repeated turns all stay; an
 empty table gives an empty result; other columns are ignored. A conversation is one output row, so it must fit in one.
@@ -39,15 +39,16 @@ def unescape(text: Column, header: bool = False) -> Column:
 
 
 def from_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text as reply trees in which each turn answers the one before: conv, node, parent, score, role, text."""
+    """conv_id, turn, role, text as reply trees in which each turn answers the one before: conv, node, parent, score (the text's characters, for want of another), role, text."""
     rows = turns.select(F.col("conv_id").alias("conv"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.row_number().over(Window.partitionBy("conv").orderBy("turn", "role", "text"))
     rows = rows.withColumn("node", n.cast("long"))
-    return rows.select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+    return rows.select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.length("text").cast("double").alias("score"), "role", "text")
 
 
 def _key(conv: Column) -> Column:
-    return F.coalesce(conv.cast("string"), F.lit("null"))
+    """Of conversations; the null one differs from any text."""
+    return F.when(conv.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), conv.cast("string")))
 
 
 def reply_paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:

@@ -47,6 +47,12 @@ def test_like_sql(spark, small, tmp_path):
     assert planted[1:5] == (2, hashlib.sha256(b"user\n</s>[INST] ok [/INST]\nassistant\n</s>[INST] ok [/INST]\n").hexdigest(), 21, hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest())
 
 
+def test_null_and_a_conversation_named_null(spark):
+    rows = [(None, 0, "user", "a"), ("null", 0, "user", "b"), ("1", 0, "user", "c")]
+    out = read(chat.format_paths(chat.reply_paths(chat.from_turns(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")), branches=1))).collect()
+    assert {(r.conv, r.turns[0].text) for r in out} == {(None, "a"), ("null", "b"), ("1", "c")}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_paths(chat.reply_paths(chat.from_turns(none))).count() == 0
