@@ -58,8 +58,42 @@ def test_few_and_none(spark):
 
 
 def test_best_breaks_ties_by_id():
-    row, col = N.best(np.array([[1.0, 3.0, 3.0, 3.0, 2.0]]), np.arange(5), 3)
-    assert col.tolist() == [1, 2, 3]
+    x = np.array([[1.0], [3.0], [3.0], [3.0], [2.0]])
+    row, col, score = N.best(np.array([[1.0], [-1.0]]), x, np.array([9, 8, 5, 7, 6]), 3)
+    assert row.tolist() == [0, 0, 0, 1, 1, 1] and col.tolist() == [2, 3, 1, 0, 4, 2] and score.tolist() == [3, 3, 3, -1, -2, -3]
+    rng = np.random.default_rng(1)
+    q, x = rng.normal(size=(7, 40)), rng.normal(size=(900, 40))
+    x[500:] = x[:400]
+    ids = rng.permutation(900)
+    row, col, score = N.best(q, x, ids, 25)
+    for i in range(7):
+        every = sorted((-sum_(q[i], x[j]), ids[j]) for j in range(900))[:25]
+        assert [(-a, b) for a, b in every] == list(zip(score[row == i].tolist(), ids[col[row == i]].tolist(), strict=True))
+
+
+def sum_(a, b):
+    out = 0.0
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        out += x * y
+    return out
+
+
+@pytest.mark.parametrize("kind", ["clusters", "none"])
+def test_recall_and_comparisons(spark, kind):
+    """12,000 vectors. In clusters, few are compared; without structure, never more than all."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(150, 48)) if kind == "clusters" else np.zeros((1, 48))
+    x = (centre[rng.integers(0, len(centre), 12_000)] + rng.normal(size=(12_000, 48)) * (0.15 if kind == "clusters" else 1.0)).astype(np.float32)
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], SCHEMA).repartition(6)
+    report = {}
+    got = result(N.nearest(df, report=report))
+    x = x.astype(float)
+    score = x[::20] @ x.T
+    score[np.arange(600), np.arange(0, 12_000, 20)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len({j for j, _ in got[20 * i]} & set(w.tolist())) / 20 for i, w in enumerate(want)]) >= 0.9
+    assert all(s == sum_(x[q], x[j]) for q in list(got)[:20] for j, s in got[q])
+    assert report["compared"] <= (report["rows"] / 4 if kind == "clusters" else report["rows"])
 
 
 def test_tied_classes_go_to_the_smaller_id(spark):
