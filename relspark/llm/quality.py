@@ -6,7 +6,7 @@ occurred before in the text. The vector is divided by the root of the number of
 more, and scaled by the log-count ratios of the two classes. A linear hinge-loss model on it is fitted by dual coordinate descent;
 a sigmoid, fitted on margins of rows that a first fit left out, maps margins to (0, 1).
 
-The model is fitted on at most ``sample`` labelled rows (whole texts, at most ``features`` indicators in all), those with the smallest
+The model is fitted on at most ``sample`` labelled texts (whole ones, at most ``features`` indicators in all), those with the smallest
 hash of doc_id, so its cost doesn't grow; every whole text is scored. Only the text is an input.
 
 Defined cases: a null or empty text has no n-grams and gets the bias's score; null doc_ids are scored, never learnt from; a doc_id
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relspark.llm.common import checkpoint
+from relspark.llm.common import by_place, checkpoint, named_again, placed, spread
 from relspark.llm.units import byte_chunks, release, worker_cache
 
 BITS = 18
@@ -45,7 +45,7 @@ def shape(word: str) -> str:
         s = m[0]
         return "a" if s.islower() else "A" if s.isupper() else "Aa" if s[:1].isupper() and s[1:].islower() else "x"
 
-    return _REPEATS.sub(r"\1\1", re.sub(r"\d+", "0", _LETTERS.sub(run, word)))[:12]
+    return _REPEATS.sub(r"\1\1", re.sub(r"\d+", "0", _LETTERS.sub(run, word)))
 
 
 def _hash(text: str) -> int:
@@ -195,22 +195,31 @@ def _featurizer(batches):
             doc, place = features(["" if t is None else t for t in batch.column("text")[i:j].to_pylist()])
             ends = np.searchsorted(doc, np.arange(j - i + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("draw")[i:j], batch.column("quality")[i:j], lists], names=["draw", "quality", "places"])
+            part = batch.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("draw", "doc_id", "th", "quality")], lists], names=["draw", "doc_id", "th", "quality", "places"])
+            release()
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, features: int = SAMPLE_FEATURES, **how) -> dict:
-    """Fit on at most ``sample`` labelled rows, and as many as have ``features`` indicators in all, that aren't held out."""
+    """Fit on at most ``sample`` labelled texts, and as many as have ``features`` indicators in all (one at least), that aren't held out.
+
+    The sample is drawn by ids and hashes alone; its texts are read where they are, and only their indicators, which ``features`` bounds, leave the executors.
+    Rows with equal doc_id and text count once.
+    """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     draw = F.xxhash64(F.lit(17), "doc_id")
-    known = F.broadcast(known.orderBy(draw, "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").withColumn("draw", draw).orderBy("draw", "doc_id", F.xxhash64("text")).limit(sample)
-    rows = checkpoint(rows.select("draw", "quality", "text").mapInArrow(_featurizer, "draw long, quality int, places array<int>"))
-    sizes = sorted((r[0], r[1]) for r in rows.select("draw", F.size("places")).collect())
+    own = F.struct("draw", "doc_id", "th")
+    known = F.broadcast(known.select("doc_id", "quality", draw.alias("draw")).orderBy("draw", "doc_id").limit(sample))
+    texts = spread(docs.select("doc_id", "text")).join(known, "doc_id").withColumn("th", F.xxhash64("text"))
+    rows = texts.select("draw", "doc_id", "th", "quality", "text").mapInArrow(_featurizer, "draw long, doc_id long, th long, quality int, places array<int>")
+    rows = checkpoint(rows.groupBy("draw", "doc_id", "th").agg(F.first("quality").alias("quality"), F.first("places").alias("places")))
+    sizes = [(tuple(r[0]), r[1]) for r in rows.select(own.alias("own"), F.size("places")).orderBy("own").limit(sample).collect()]
     within = max(int(np.searchsorted(np.cumsum([n for _, n in sizes]), features, "right")), 1)
-    if within < len(sizes):
-        rows = rows.filter(F.col("draw") < sizes[within][0])
+    if sizes:
+        last = sizes[min(within, len(sizes)) - 1][0]
+        rows = rows.filter(own <= F.struct(*[F.lit(x).cast("long") for x in last]))
     got = rows.toArrow()
-    order = np.lexsort((np.asarray(got.column("quality").combine_chunks()), np.asarray(got.column("draw").combine_chunks())))
+    order = np.lexsort([np.asarray(got.column(c).combine_chunks()) for c in ("th", "doc_id", "draw")])
     y = np.asarray(got.column("quality").combine_chunks())[order].astype(np.int64)
     lists = got.column("places").combine_chunks()
     ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
@@ -232,24 +241,20 @@ def _scorer(model: dict, at: int, name: str):
     return run
 
 
-def with_scores(docs: DataFrame, model: dict) -> tuple[DataFrame, str]:
-    """``docs`` with a column of scores, and its name, which no other column has."""
+def with_scores(docs: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` of scores; it has no column of that name so far."""
     from pyspark.sql import types as T
 
-    name = "_score"
-    while name in map(str.lower, docs.columns):
-        name += "_"
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(_scorer(model, docs.columns.index("text"), name), schema), name
+    return spread(docs).mapInArrow(_scorer(model, docs.columns.index(text), name), schema)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    out, _ = with_scores(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    out = with_scores(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def keep(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows that the model doesn't reject, unchanged."""
-    out, name = with_scores(docs, model)
-    return out.filter(F.col(name) >= 0.5).select(*docs.columns)
+    """The rows that the model doesn't reject, unchanged, whatever their columns' names."""
+    return named_again(with_scores(by_place(docs), model, placed(docs, "text")).filter("score >= 0.5"), docs)

@@ -1,7 +1,10 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from relspark.llm import quality
+from relspark.llm.queries import QUERIES
 
 
 def test_features_by_hand():
@@ -71,7 +74,37 @@ def test_held_out_is_by_crc(spark):
     assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(200)}
 
 
-def test_bound_on_features(spark, awkward):
-    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
-    model = quality.learn(awkward, labels, features=30)
-    assert model["w"].any() or model["b"] is not None
+def test_bound_on_features(spark):
+    """The bound cuts by row: it takes as many texts, in order of their draw, as it allows, also where ids repeat."""
+    good, bad = "a fine and quiet text about rivers", "BUY!! NOW 99 99 99"
+    a, b = [i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows = [(a, f"{good} {i}") for i in range(20)] + [(b, f"{bad} {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(a, 1), (b, 0)], "doc_id long, quality int")
+    per_row = [len(quality.features([t])[1]) for _, t in rows]
+    free = quality.learn(docs, labels)
+    bound = quality.learn(docs, labels, features=sum(per_row) - 1)
+    tight = quality.learn(docs, labels, features=1)
+    assert free["w"].any() and bound["w"].any() and not np.array_equal(free["w"], bound["w"]) and not tight["w"].any()
+    one = quality.learn(docs.union(docs).union(docs), labels)
+    assert np.array_equal(one["w"], free["w"]) and one["bias"] == free["bias"]
+
+
+def test_scores_like_brute_force(spark, small):
+    """Scores of the query against a plain reading of the texts: indicators by text, log-count ratios, the weights' sum, the sigmoid."""
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    known = {}
+    for r in labels.collect():
+        if r.quality is not None and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            known[r.doc_id] = min(known.get(r.doc_id, 1), r.quality)
+    order = {r.doc_id: r.d for r in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id").alias("d")).collect()}
+    train = sorted((order[r.doc_id], r.doc_id, r.text) for r in rows if r.doc_id in known)
+    places = [np.unique(quality.features([t])[1]) for *_, t in train]
+    model = quality.train(places, np.array([known[i] for _, i, _ in train]))
+    got = {r.doc_id: r.score for r in QUERIES["op3_quality_classifier"](spark, small).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        p = quality.features([r.text])[1]
+        m = model["w"][p].astype(float).sum() / max(len(p), 1) ** 0.5 + model["bias"]
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-(model["a"] * m + model["b"])))) < 1e-6
