@@ -12,6 +12,7 @@ Two texts link if the Jaccard similarity of their sets is at least 0.8.
    both their sketches, and such classes are compared in pairs of blocks, all blocks that meet in a larger bucket. So 2e-6 holds for all buckets, whatever
    their size. Besides, comparing sketches (``POSSIBLE``) can miss a pair of sets larger than sketches: by the binomial tail with probability
    1e-4 at worst, for a set with exactly 0.8 of the tokens of another that holds it all. Comparing sketches leaves a spanning forest of possible links, never all pairs.
+   The recall is measured, too: ``PROBES`` classes are compared with all classes, and runs with other draws are added until a share ``RECALL`` of their possible links is found.
 3. Components of possible links (star contraction on DataFrames) are candidates. Their whole sets are read again and compared
    exactly, in pairs of blocks; each comparison gives counts of links and a spanning forest of the true links.
 
@@ -28,8 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from relspark.llm.common import checkpoint, fresh_path, maybe_broadcast
-from relspark.llm.units import byte_chunks, release, worker_cache
+from relspark.llm.common import by_place, checkpoint, fresh_path, maybe_broadcast, named_again, placed, spread
+from relspark.llm.units import byte_chunks, gather, release, worker_cache
 
 NGRAM, SIMILARITY = 5, 0.8
 SKETCH = 128
@@ -39,6 +40,8 @@ LEAF = 512
 BLOCK = 256
 #: Share of the larger sketch that two sketches must have in common to be a possible link; linked sets share 0.8 at least, give or take 0.035.
 POSSIBLE = 0.66
+#: After the runs, links of ``PROBES`` classes with all others are looked up; runs are added until a share ``RECALL`` of them is found.
+PROBES, RECALL, MOST_RUNS = 256, 0.999, 10
 KEPT_WORDS = 200_000
 #: Bytes of texts handled at a time; it bounds memory, not results.
 CHUNK_BYTES = 1_500_000
@@ -231,11 +234,56 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots.select("node", F.col("node").alias("comp")))
 
 
-def _bucket_edges(classes: DataFrame) -> DataFrame:
+def _prober(sample: list[tuple[int, int, np.ndarray]]):
+    """For each class the places in ``sample`` (sig, n, sketch) of the others that it possibly links with."""
+    sizes = np.array([n for _, n, _ in sample])
+    tokens = np.concatenate([t for _, _, t in sample])
+    owner = np.repeat(np.arange(len(sample)), [len(t) for _, _, t in sample])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    sigs = {s: i for i, (s, _, _) in enumerate(sample)}
+
+    def run(batches):
+        for batch in batches:
+            sig, n, lists = np.asarray(batch.column("sig")), np.asarray(batch.column("n")), batch.column("sketch")
+            ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+            flat = flat[ends[0] : ends[-1]]
+            row = np.repeat(np.arange(len(sig)), np.diff(ends))
+            a, b = np.searchsorted(tokens, flat, "left"), np.searchsorted(tokens, flat, "right")
+            hit = np.flatnonzero(b > a)
+            pair = np.repeat(row[hit] * len(sample), (b - a)[hit]) + owner[gather(a[hit], (b - a)[hit])]
+            pair, both = np.unique(pair, return_counts=True)
+            row, asked = pair // len(sample), pair % len(sample)
+            large = np.maximum(n[row], sizes[asked])
+            near = (both >= POSSIBLE * np.minimum(large, SKETCH)) & (np.minimum(n[row], sizes[asked]) >= SIMILARITY * large)
+            near &= np.array([sigs.get(s, -1) for s in sig.tolist()], np.int64)[row] != asked
+            row, asked = row[near], asked[near]
+            count = np.bincount(row, minlength=len(sig))
+            out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(asked.astype(np.int32)))
+            some = pa.array(count > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("sig").filter(some), out.filter(some)], names=["sig", "asked"])
+
+    return run
+
+
+def measured_recall(classes: DataFrame, comps: DataFrame, sample: int = PROBES) -> float:
+    """Share of the possible links of ``sample`` classes (those of smallest hash) that ``comps`` (node, comp) holds in one component; found by comparing the sample with all classes."""
+    drawn = classes.filter("n > 0").orderBy(F.xxhash64(F.lit(9), "sig"), "sig").limit(sample).select("sig", "n", "sketch").collect()
+    if not drawn:
+        return 1.0
+    hits = classes.select("sig", "n", "sketch").mapInArrow(_prober([(r.sig, r.n, np.array(r.sketch, np.int32)) for r in drawn]), "sig long, asked array<int>")
+    asked = classes.sparkSession.createDataFrame([(i, r.sig) for i, r in enumerate(drawn)], "i int, node long").join(comps, "node")
+    own = asked.groupBy("comp").agg(F.collect_set("i").alias("own"))
+    found = hits.join(comps, hits.sig == comps.node, "left").select("comp", "asked").join(F.broadcast(own), "comp", "left")
+    total, hit = found.agg(F.sum(F.size("asked")), F.sum(F.size(F.array_intersect("asked", F.coalesce("own", F.array().cast("array<int>")))))).first()
+    return hit / total if total else 1.0
+
+
+def _bucket_edges(classes: DataFrame, seed: int = 0) -> DataFrame:
     """Possible links (a, b) from the buckets of sampled tokens over ``classes`` (sig, n, sketch)."""
     unit = lambda *parts: F.xxhash64(*parts).cast("double") / F.lit(float(1 << 64)) + 0.5
     size = F.greatest(F.size("sketch"), F.lit(1))
-    chosen = F.explode(F.filter("sketch", lambda t: unit(F.lit(0), t) < F.lit(RUNS / BASE) / size))
+    chosen = F.explode(F.filter("sketch", lambda t: unit(F.lit(seed), t) < F.lit(RUNS / BASE) / size))
     level = checkpoint(classes.filter("n > 0").select("sig", "n", chosen.alias("t")).select(F.xxhash64(F.lit(1), "t").alias("path"), "sig", "n"))
     sketches = classes.select("sig", "sketch")
 
@@ -291,12 +339,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     path = fresh_path(spark, "sketches")
-    base.mapInArrow(_sketches, "doc_id long, th long, sig long, n long, sketch array<int>").write.parquet(path)
+    spread(base).mapInArrow(_sketches, "doc_id long, th long, sig long, n long, sketch array<int>").write.parquet(path)
     rows = spark.read.schema("doc_id long, th long, sig long, n long, sketch array<int>").parquet(path)
     one = F.struct("doc_id", "th")
     classes = rows.groupBy("sig").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min(one).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = checkpoint(classes)
-    comps = components(_bucket_edges(classes))
+    comps = checkpoint(components(_bucket_edges(classes)))
+    # Runs with other draws are added until the links of a sample are found, but for 1 - ``RECALL``.
+    for more in range(1, MOST_RUNS):
+        if measured_recall(classes, comps) >= RECALL:
+            break
+        edges = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(_bucket_edges(classes, 10 * more))
+        comps = checkpoint(components(edges))
     sizes = comps.groupBy("comp").agg(F.count("*").cast("int").alias("members"))
     members = comps.join(sizes, "comp").withColumnRenamed("node", "sig")
     wanted = checkpoint(members.join(classes.select("sig", "copies", "one"), "sig").select("sig", "comp", "members", "copies", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th")))
@@ -319,14 +373,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group: that with the smallest doc_id (null last; then the smallest hash of text), with all its columns."""
+    """One document of each group: that with the smallest doc_id (null last; then the smallest hash of text), with all its columns, whatever their names."""
     near = checkpoint(near_duplicates(docs))
     key = F.when(F.col("class_id").isNull(), F.concat(F.lit("s"), F.col("comp").cast("string"))).otherwise(F.col("class_id").cast("string"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    kept = near.groupBy(key.alias("g")).agg(F.min(first).alias("k")).select("k.doc_id", "k.th")
+    kept = near.groupBy(key.alias("g")).agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
     many = near.groupBy("doc_id", "th").count().filter("count > 1")
-    d = docs.withColumn("_th", F.xxhash64("text")).alias("d")
-    out = d.join(kept.alias("k"), F.expr("d._th = k.th AND d.doc_id <=> k.doc_id"), "left_semi")
+    doc_id, text = placed(docs, "doc_id"), placed(docs, "text")
+    d = by_place(docs).withColumn("_own", F.xxhash64(text))
+    out = d.join(kept, (F.col("_own") == F.col("_th")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left_semi")
     if not many.isEmpty():
-        out = out.dropDuplicates(["doc_id", "_th"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates([doc_id, "_own"])
+    return named_again(out, docs)

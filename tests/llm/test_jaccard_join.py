@@ -129,3 +129,30 @@ def test_near_copies_without_ids_keep_one(spark):
     rows = [(None, f"{body} {end}") for end in ("a", "b", "c")] + [(None, "something else"), (4, "and more")]
     kept = J.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(kept) == 3 and {r.text for r in kept} > {"something else", "and more"}
+
+
+def test_runs_are_added_until_the_recall_is_met(spark, monkeypatch):
+    """With a third of a run at a time most links are missed at first; the measured recall brings more runs."""
+    monkeypatch.setattr(J, "RUNS", 0.3)
+    seen = []
+    measured = J.measured_recall
+    monkeypatch.setattr(J, "measured_recall", lambda *a, **k: seen.append(measured(*a, **k)) or seen[-1])
+    monkeypatch.setattr(J, "MOST_RUNS", 40)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for g in range(40):
+        body = " ".join(word() for _ in range(90))
+        rows += [(3 * g + i, f"{body} {word()}") for i in range(3)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i // 3 * 3, 2) for i, _ in rows} and seen[0] < 0.9 and seen[-1] >= J.RECALL and seen == sorted(seen)
+
+
+def test_measured_recall_by_hand(spark):
+    sketch = list(range(100))
+    rows = [(i, 100, sketch) for i in range(4)] + [(9, 100, list(range(1000, 1100)))]
+    classes = spark.createDataFrame(rows, "sig long, n long, sketch array<int>")
+    comps = lambda found: spark.createDataFrame(found, "node long, comp long")
+    assert J.measured_recall(classes, comps([(0, 0), (1, 0), (2, 0), (3, 0)])) == 1.0
+    assert J.measured_recall(classes, comps([(0, 0), (1, 0)])) == 2 / 12
+    assert J.measured_recall(classes, comps([(7, 7), (8, 7)])) == 0.0
