@@ -37,15 +37,22 @@ sums AS (SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS ws,
 filled AS (SELECT *, (3 * total - 4 * size_before) * w >= 4 * source_size * (ws - w_before) AS is_full FROM sums),
 targets AS (SELECT k, source_size, CASE WHEN is_full THEN (2 * source_size)::DOUBLE ELSE (w * (3 * total - 4 * full_size))::DOUBLE / (2 * (ws - full_w))::DOUBLE END AS target
     FROM (SELECT *, sum(CASE WHEN is_full THEN source_size ELSE 0 END) OVER () AS full_size, sum(CASE WHEN is_full THEN w ELSE 0 END) OVER () AS full_w FROM filled)),
-rates AS (SELECT *, floor(rate) AS whole, rate - floor(rate) AS p, target - floor(rate) * source_size::DOUBLE AS need
+rates AS (SELECT *, floor(rate) AS whole, target - floor(rate) * source_size::DOUBLE AS need
     FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate FROM targets)),
-drawn AS (SELECT s.*, r.source_size, r.target, r.whole, r.p, r.need,
+drawn AS (SELECT s.*, r.source_size, r.target, r.whole, r.need, 1::BIGINT << ((CASE WHEN size > 0 THEN length(to_binary(size)) ELSE 0 END + 1) // 2)::INT AS w,
     (('0x' || substr(md5('mix-1|' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
     FROM sizes s JOIN rates r USING (k)),
-ranked AS (SELECT *, x / (1.0::DOUBLE + x) AS rank_key FROM (SELECT *, CASE WHEN p > 0 THEN (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)) END AS x FROM drawn)),
-cums AS (SELECT *, sum(size) OVER (PARTITION BY k ORDER BY rank_key, coalesce(doc_id::VARCHAR, '')) AS cum,
-    sum(size) OVER (PARTITION BY k, rank_key, doc_id) AS own FROM ranked),
-mixed AS (SELECT *, (whole + CASE WHEN p > 0 AND 2 * cum - own <= 2 * need THEN 1 ELSE 0 END)::BIGINT AS copies FROM cums)
+classes AS (SELECT k, w, any_value(need) AS need, sum(size)::HUGEINT AS words FROM drawn GROUP BY k, w),
+certain AS (SELECT *, words > 0 AND need > 0 AND (need - coalesce(sum(words) OVER (h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) * w::DOUBLE
+    >= (sum(w * words) OVER (h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS is_certain FROM classes WINDOW h AS (PARTITION BY k ORDER BY w DESC)),
+shares AS (SELECT k, min(w) FILTER (is_certain) AS full_w, any_value(need) - coalesce(sum(words) FILTER (is_certain), 0)::DOUBLE AS open_need,
+    (sum(w * words) FILTER (NOT is_certain))::DOUBLE AS open_words FROM certain GROUP BY k),
+chances AS (SELECT d.*, s.open_need, w >= coalesce(full_w, w + 1) AS is_certain,
+    CASE WHEN w < coalesce(full_w, w + 1) THEN coalesce(open_need / nullif(open_words, 0), 0) * w::DOUBLE ELSE 0 END AS p FROM drawn d JOIN shares s USING (k)),
+ranked AS (SELECT *, x / (1.0::DOUBLE + x) AS rank_key FROM (SELECT *, CASE WHEN p > 0 THEN (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)) END AS x FROM chances)),
+cums AS (SELECT *, sum(size) OVER (PARTITION BY k, p > 0 ORDER BY rank_key, coalesce(doc_id::VARCHAR, '')) AS cum,
+    sum(size) OVER (PARTITION BY k, p > 0, rank_key, doc_id) AS own FROM ranked),
+mixed AS (SELECT *, (whole + CASE WHEN is_certain OR p > 0 AND 2 * cum - own <= 2 * open_need THEN 1 ELSE 0 END)::BIGINT AS copies FROM cums)
 """
 ORACLE_SQL["op1_mixing"] = "WITH " + MIX_SQL.format(docs="documents") + """
 SELECT doc_id, source, size, source_size::BIGINT AS source_size, target, copies, (size * copies)::BIGINT AS taken FROM mixed"""
@@ -56,7 +63,7 @@ def op7_chat_formatting(spark, sf_dir):
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    out = chat.format_paths(chat.reply_paths(chat.from_turns(rows.unionByName(more))))
+    out = chat.format_paths(chat.reply_paths(chat.from_turns(rows.unionByName(more)), branches=1))
     turns = chat.read_back(F.col("formatted"))
     out = out.withColumns({"_turns": turns, "_loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))})
     return out.select(
@@ -106,7 +113,7 @@ def op3_quality_classifier(spark, sf_dir):
 
 @query
 def op6_media_columns(spark, sf_dir):
-    return media.digests(media.extract(read_table(spark, sf_dir, "documents")))
+    return media.digests(media.extract(media.store(read_table(spark, sf_dir, "documents"), fresh_path(spark, "media"))))
 
 
 @query

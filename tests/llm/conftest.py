@@ -8,8 +8,16 @@ AWKWARD = [
     (5, LONG, "en", "a", 9), (6, LONG, "fr", "b", 9), (None, "no id at all here, dear reader", "en", "a", 1), (None, None, None, None, None), (7, " \n\t two  spaces\n\nand lines \n", "en", "c", 2),
     (8, "日本語のテキスト 😀 ünïcödé", "ja", "c", 2), (1, "one two three four five six seven eight nine ten", "en", "a", 3), (9, "x", "en", "z", 1),
 ]
-#: Names that operators also use.
-CLASHES = {"shard": 5, "slot": "s", "score": 1.5, "copies": 2, "start": 3, "sig": 1, "rank": 2, "size": 4, "tokens": "t"}
+#: Names that operators also use, of results and within.
+CLASHES = {
+    name: i if i % 2 else str(i)
+    for i, name in enumerate(
+        """shard slot score copies start sig rank size tokens target source_size taken law grown_shard th comp class_id n_links members block held_out predicted
+        quality draw places n_tokens n_sections n_crossing part part_start ids ids_crc32 sample pieces inclusion round_trip n_bytes media tensor segments feature
+        _mix_key _mix_n _mix_i _mix_c _mix_full _mix_whole _mix_end _mix_bucket _shard _grown _part _bucket _place _row _id _th _own _h _in _score _score_ _start
+        d k g many c0 c1 c2 path sketch key count value starts""".split()
+    )
+}
 
 
 @pytest.fixture(scope="session")
