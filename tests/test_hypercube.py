@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
-from relspark.operators.hypercube import multiway_join, sides
+from relspark.operators.hypercube import cyclic, multiway_join, sides
+from relspark.plans import analyzer
+from relspark.session import Session
 
 
 def test_triangles(spark):
@@ -16,3 +18,22 @@ def test_triangles(spark):
 def test_sides():
     assert sides(["x", "y", "z"], [{"x", "y"}, {"y", "z"}, {"z", "x"}], [100, 100, 100], 8) == {"x": 2, "y": 2, "z": 2}
     assert sides(["x"], [{"x"}, {"x"}], [10, 10], 4) == {"x": 4}
+    assert max(sides(list("vwxyz"), [{"v", "w"}, {"w", "x"}, {"x", "y"}, {"y", "z"}, {"z", "v"}], [9] * 5, 64).values()) <= 4
+
+
+def test_cycles():
+    assert cyclic([{"x", "y"}, {"y", "z"}, {"z", "x"}]) and cyclic([{"a", "b"}, {"b", "c"}, {"c", "d"}, {"d", "a"}, {"a", "e"}])
+    assert not cyclic([{"x", "y"}, {"y", "z"}, {"z", "u"}]) and not cyclic([{"x", "y"}, {"y", "z"}, {"z", "x"}, {"x", "y", "z"}]) and not cyclic([set(), set()])
+
+
+def test_programs_join_large_cycles_on_a_grid(spark, monkeypatch):
+    rng = random.Random(2)
+    edges = [(rng.randrange(12), rng.randrange(12)) for _ in range(70)]
+    tables = {"e": spark.createDataFrame([*edges, (None, 3)], "a long, b long")}
+    program = "E = scan(e); out = [from E as p, E as q, E as r where p.b = q.a and q.b = r.a and r.b = p.a and p.a < q.a emit p.a as x, q.a as y, r.a as z];"
+    want = Counter((a, b, d) for a, b in edges for c, d in edges if b == c for e, f in edges if e == d and f == a and a < b)
+    assert Counter(map(tuple, Session(spark, dict(tables)).query(program, "out").collect())) == want
+    assert "_cell" not in Session(spark, dict(tables)).explain(program, "out")
+    monkeypatch.setattr(analyzer, "GRID_BYTES", 0)
+    assert Counter(map(tuple, Session(spark, dict(tables)).query(program, "out").collect())) == want
+    assert "_cell" in Session(spark, dict(tables)).explain(program, "out")
