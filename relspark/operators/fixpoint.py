@@ -1,8 +1,11 @@
 """Least fixpoints of recursive relations, by rounds over DataFrames.
 
 A head without aggregates keeps distinct rows: each round derives from the newest rows alone where a branch reads one recursive relation
-once, so known rows are not derived again. A head with MIN or LEXMIN keeps the least values of each key. A head with COUNT(*) counts what
-the current state derives. Rounds end when no relation changes; each round's state is written to the shared folder.
+once, so known rows are not derived again. A head with MIN or LEXMIN keeps the least values of each key; old and new values meet in one aggregation, which also tells
+what changed. A head with COUNT(*) counts what the current state derives. Rounds end when no relation changes.
+
+What a round adds is written to the shared folder. A distinct relation is the union of what its rounds added, written as one only every ``MERGE`` rounds, so known
+rows are not written again each time.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from relspark.plans.analyzer import Analyzer, plain
 from relspark.sources.catalog import Relation
 
 ROUNDS = 10_000
+MERGE = 10
 
 
 def branches(rel) -> list:
@@ -119,7 +123,7 @@ def solve(analyzer: Analyzer, rules: tuple[T.Rule, ...], rounds: int = ROUNDS) -
             raise E.InvalidStatement("a recursive relation has no branch to begin with")
     state = {n: r._replace(df=checkpoint(r.df)) for n, r in state.items()}
     fresh = dict(state)
-    for _ in range(rounds):
+    for number in range(1, rounds + 1):
         new, changed = {}, False
         for r in rules:
             head, own = heads[r.name], state[r.name]
@@ -142,20 +146,23 @@ def solve(analyzer: Analyzer, rules: tuple[T.Rule, ...], rounds: int = ROUNDS) -
             if head.kind == "distinct":
                 delta = checkpoint(got.df.subtract(own.df))
                 total = own.df.union(delta)
+                if number % MERGE == 0:
+                    total = checkpoint(total)
             elif head.kind == "countall":
                 total = checkpoint(got.df)
                 delta = checkpoint(total.subtract(own.df).union(own.df.subtract(total)))
             else:
-                values = [i for i in range(len(own.types)) if heads[r.name].at <= i < heads[r.name].at + len(head.agg.args)]
-                keys = [f"c{i}" for i in range(len(own.types)) if i not in values]
-                best = own.df.union(got.df).groupBy(*keys).agg(F.min(F.struct(*[f"c{i}" for i in values])).alias("m")).select(*keys, "m.*")
-                total = checkpoint(best.select(*own.df.columns))
-                delta = checkpoint(total.subtract(own.df))
+                values = [f"c{i}" for i in range(head.at, head.at + len(head.agg.args))]
+                keys = [c for c in own.df.columns if c not in values]
+                both = own.df.withColumn("old", F.struct(*values)).unionByName(got.df.withColumn("old", F.lit(None)), allowMissingColumns=True)
+                best = both.groupBy(*keys).agg(F.min(F.struct(*values)).alias("m"), F.min("old").alias("old"))
+                best = checkpoint(best.select(*keys, "m.*", (~F.col("m").eqNullSafe(F.col("old"))).alias("fresh")))
+                total, delta = best.select(*own.df.columns), best.filter("fresh").select(*own.df.columns)
             new[r.name] = (own._replace(df=total), delta)
         for name, (rel, delta) in new.items():
             any_new = not delta.isEmpty()
             changed |= any_new
-            state[name] = rel._replace(df=checkpoint(rel.df)) if any_new else state[name]
+            state[name] = rel if any_new else state[name]
             fresh[name] = rel._replace(df=delta)
         if not changed:
             return state
