@@ -35,7 +35,7 @@ _CALLS = {
 
 
 def evaluate(node, env: dict):
-    """The value of an expression whose names are in ``env``."""
+    """The value of an expression whose names are in ``env``; None stands for null."""
     go = lambda n: evaluate(n, env)
     if isinstance(node, T.Lit):
         return node.value
@@ -46,9 +46,15 @@ def evaluate(node, env: dict):
             return go(node.args[0]) and go(node.args[1])
         if node.op == "or":
             return go(node.args[0]) or go(node.args[1])
-        return _OPS[node.op](*map(go, node.args))
+        args = [go(a) for a in node.args]
+        return None if None in args else _OPS[node.op](*args)
     if isinstance(node, T.Case):
         return next((go(v) for c, v in node.whens if go(c)), None) if any(go(c) for c, _ in node.whens) else go(node.default)
     if isinstance(node, T.Cast):
-        return {"LONG": int, "DOUBLE": float, "STRING": str, "BOOLEAN": bool, "BLOB": bytes}[node.type](go(node.arg))
-    return _CALLS[node.name.lower()](*map(go, node.args))
+        value = go(node.arg)
+        return None if value is None else {"LONG": int, "DOUBLE": float, "STRING": str, "BOOLEAN": bool, "BLOB": bytes}[node.type](value)
+    name, args = node.name.lower(), [go(a) for a in node.args]
+    if name in ("least", "greatest", "lesser", "greater"):
+        args = [a for a in args if a is not None]
+        return _CALLS[name](args) if args else None
+    return None if None in args else _CALLS[name](*args)

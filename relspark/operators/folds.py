@@ -1,9 +1,10 @@
 """User-defined folds: aggregates over groups, and running states over rows.
 
 A state whose update adds something (``s + x``), or takes the lesser or greater (``least(s, x)``), folds as a native
-aggregate or a running window. Other folds are a higher-order function over the group's sorted arguments, which stays in
-the JVM; its memory is that of one group's arguments. A fold declared with a local and a remote part runs the local one by
-partition and group, and the remote one over these results, so no group gathers in one place.
+aggregate or a running window; so does, as an aggregate, the choice of the row with the greatest or least value (``case when v > top then x else best end``,
+``top`` being kept likewise). Other folds are a higher-order function over the group's sorted arguments, which stays in
+the JVM; its memory is that of one group's arguments. A fold declared with a local and a remote part runs the local one in each
+partition, where rows are, and the remote one over these results: only states are shuffled.
 
 Rows have no order of their own: folds go through them in ascending order of the arguments (aggregates) or of all columns (running
 states).
@@ -18,6 +19,8 @@ from relspark.lang import tree as T
 from relspark.plans.expressions import compile_
 from relspark.types import SPARK, Typed
 
+#: Groups whose states one task holds.
+STATES = 100_000
 _EXTREMES = {"least": "min", "lesser": "min", "greatest": "max", "greater": "max"}
 
 
@@ -60,6 +63,48 @@ def native(func: T.Stateful) -> list[tuple[str, object]] | None:
     return out
 
 
+def picks(func: T.Stateful, args: list[Typed]) -> tuple[int, object, bool, dict] | None:
+    """(place of the state that holds the best value so far, its expression, whether greatest is best, the expression that each state takes from the best row), if all states
+    follow one comparison ``value > top`` or ``value < top``. None otherwise."""
+    names = [s[0] for s in func.states]
+    free = lambda n: not any(isinstance(x, T.Name) and x.name in names for x in T.walk(n))
+    conditions, taken = set(), {}
+    for i, (name, _, update) in enumerate(func.states):
+        if not (isinstance(update, T.Case) and len(update.whens) == 1 and update.default == T.Name(name)):
+            return None
+        ((condition, value),) = update.whens
+        conditions.add(condition)
+        taken[i] = value
+    if len(conditions) != 1 or not all(free(v) for v in taken.values()):
+        return None
+    (condition,) = conditions
+    if not (isinstance(condition, T.Op) and condition.op in ("<", ">")):
+        return None
+    a, b = condition.args
+    for value, top, greatest in ((a, b, condition.op == ">"), (b, a, condition.op == "<")):
+        if isinstance(top, T.Name) and top.name in names and free(value) and taken[names.index(top.name)] == value:
+            kind = compile_(value, lambda n: dict(zip(func.args, args, strict=True))[n.name]).type
+            return (names.index(top.name), value, greatest, taken) if kind in ("LONG", "DOUBLE") else None
+    return None
+
+
+def _picked_states(func: T.Stateful, args: list[Typed], kinds: list[str]) -> Column:
+    """The struct of final states of a fold that ``picks``: of the rows with the best value the first in order of the arguments decides, if it beats the initial one."""
+    at, value, greatest, taken = picks(func, args)
+    env = dict(zip(func.args, args, strict=True))
+    go = lambda e: compile_(e, lambda n: env[n.name])
+    best = go(value)
+    order = best.col
+    if greatest:
+        # Turned around; not-a-number is the greatest of all.
+        order = F.bitwise_not(best.col) if best.type == "LONG" else F.struct(~F.isnan(best.col), -best.col)
+    parts = [order.alias("o"), *[a.col.alias(f"a{i}") for i, a in enumerate(args)], *[go(e).col.cast(SPARK[kinds[i]]).alias(f"x{i}") for i, e in taken.items()]]
+    first = F.min(F.when(best.col.isNotNull(), F.struct(*parts)))
+    start = [compile_(init, lambda n: env[n.name]).col.cast(SPARK[k]) for (_, init, _), k in zip(func.states, kinds, strict=True)]
+    wins = F.coalesce(first[f"x{at}"] > start[at] if greatest else first[f"x{at}"] < start[at], F.lit(False))
+    return F.struct(*[F.when(wins, first[f"x{i}"]).otherwise(s).alias(f"s{i}") for i, s in enumerate(start)])
+
+
 def _native_states(func: T.Stateful, args: list[Typed], kinds: list[str], over=None) -> list[Column]:
     env = dict(zip(func.args, args, strict=True))
     cols = []
@@ -76,6 +121,8 @@ def aggregate_column(func: T.Stateful, args: list[Typed], kinds: list[str]) -> C
     """The struct of final states s0, s1, ..."""
     if native(func):
         return F.struct(*[c.alias(f"s{i}") for i, c in enumerate(_native_states(func, args, kinds))])
+    if picks(func, args):
+        return _picked_states(func, args, kinds)
     rows = F.sort_array(F.collect_list(F.struct(*[a.col.alias(f"a{i}") for i, a in enumerate(args)] or [F.lit(0).alias("a0")])))
     names = [s[0] for s in func.states]
 
@@ -98,7 +145,10 @@ def two_stage(df: DataFrame, keys: list[str], func: T.Stateful, args: list[Typed
     """(keys and a struct of the remote part's states as ``name``, their types) of a fold declared in two parts."""
     local, remote = func.local, func.remote
     kinds = state_types(local, args)
-    parts = df.groupBy(*keys, F.spark_partition_id().alias("_part")).agg(aggregate_column(local, args, kinds).alias("_l"))
+    if native(local) or picks(local, args):
+        parts = df.groupBy(*keys, F.spark_partition_id().alias("_part")).agg(aggregate_column(local, args, kinds).alias("_l"))
+    else:
+        parts = _by_partition(df, keys, local, args, kinds)
     outs = [output(local, i, F.col("_l"), kinds) for i in range(len(local.outputs))]
     parts = parts.select(*keys, *[o.col.alias(f"_a{i}") for i, o in enumerate(outs)])
     middle = [Typed(F.col(f"_a{i}"), o.type) for i, o in enumerate(outs)]
@@ -106,6 +156,45 @@ def two_stage(df: DataFrame, keys: list[str], func: T.Stateful, args: list[Typed
     return parts.groupBy(*keys).agg(aggregate_column(remote, middle, kinds).alias(name)), kinds
 
 
+def _by_partition(df: DataFrame, keys: list[str], func: T.Stateful, args: list[Typed], kinds: list[str]) -> DataFrame:
+    """Keys and states (_l) of the fold over each partition's rows, in their order there. At most ``STATES`` groups are held; when there are more, states go out and begin anew, which the remote part undoes."""
+    from pyspark.sql import types as S
+
+    from relspark.functions.evaluate import evaluate
+
+    rows = df.select(*keys, *[a.col.alias(f"_a{i}") for i, a in enumerate(args)])
+    schema = S.StructType([*rows.select(*keys).schema, S.StructField("_l", S.StructType([S.StructField(f"s{i}", SPARK[k]) for i, k in enumerate(kinds)]))])
+    states, params, n_keys, most = func.states, func.args, len(keys), STATES
+    cast = [{"DOUBLE": float, "LONG": int}.get(k, lambda x: x) for k in kinds]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        start = tuple(evaluate(init, {}) for _, init, _ in states)
+        names = [s[0] for s in states]
+        held: dict = {}
+
+        def out():
+            rows = [[*k, {f"s{i}": v for i, v in enumerate(s)}] for k, s in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns, strict=True):
+                key = row[:n_keys]
+                env = dict(zip(names, held.get(key, start), strict=True)) | dict(zip(params, row[n_keys:], strict=True))
+                held[key] = tuple(v if v is None else c(v) for c, v in zip(cast, (evaluate(u, env) for _, _, u in states), strict=True))
+            if len(held) > most:
+                yield out()
+        if held:
+            yield out()
+
+    return rows.mapInArrow(run, schema)
+
+
 def running(df: DataFrame, order: list[str], folds: list[tuple[T.Stateful, list[Typed]]]) -> tuple[DataFrame, list[list[str]]]:
     """``df`` with a struct column _f0, _f1, ... of each fold's states after each row, in ascending order of ``order``.
 
