@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; a temporary folder only where that is unset."""
-    sc = df.sparkSession.sparkContext
+    """A reliable checkpoint in the folder that spark.checkpoint.dir names. Without one, a folder in the warehouse does where driver and executors are one process; a cluster needs the setting."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="relspark-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return df.checkpoint()
+
+
+def bytes_of(df: DataFrame) -> int:
+    """The optimizer's estimate of a plan's size; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
