@@ -8,7 +8,6 @@ otherwise a chain of binary joins, which Catalyst plans, is better.
 
 from __future__ import annotations
 
-from itertools import product
 from math import prod
 
 from pyspark.sql import DataFrame, functions as F
@@ -17,24 +16,44 @@ from relspark.errors import SchemaMismatch
 
 
 def sides(attributes: list[str], has: list[set[str]], rows: list[int], cells: int) -> dict[str, int]:
-    """Side of the grid along each attribute: at most ``cells`` cells, the least rows in a cell, then the smallest longest side."""
+    """Side of the grid along each attribute, a power of two: at most ``cells`` cells, the least rows in a cell, then the smallest longest side."""
     best, least = dict.fromkeys(attributes, 1), (float("inf"), 0)
-    for dims in product(range(1, cells + 1), repeat=len(attributes)):
-        if prod(dims) <= cells:
-            side = dict(zip(attributes, dims, strict=True))
-            cost = (sum(n / prod(side[a] for a in own & set(attributes)) for n, own in zip(rows, has, strict=True)), max(dims))
-            if cost < least:
-                best, least = side, cost
+    for powers in _powers(len(attributes), cells.bit_length() - 1):
+        side = {a: 1 << p for a, p in zip(attributes, powers, strict=True)}
+        cost = (sum(n / prod(side[a] for a in own & set(attributes)) for n, own in zip(rows, has, strict=True)), max(powers, default=0))
+        if cost < least:
+            best, least = side, cost
     return best
 
 
-def multiway_join(frames: list[DataFrame], cells: int = 64) -> DataFrame:
-    """The natural join of ``frames`` on their common column names."""
+def _powers(places: int, most: int):
+    """All tuples of ``places`` exponents whose sum is at most ``most``."""
+    if not places:
+        yield ()
+        return
+    for first in range(most + 1):
+        for rest in _powers(places - 1, most - first):
+            yield (first, *rest)
+
+
+def cyclic(has: list[set[str]]) -> bool:
+    """Whether relations with these attributes form a cycle: leaving out attributes that one relation alone has, and relations within another, again and again, some are left over."""
+    left = [set(h) for h in has]
+    while True:
+        slim = [{a for a in h if sum(a in other for other in left) > 1} for h in left]
+        kept = [h for i, h in enumerate(slim) if h and not any(h <= other and (h != other or j < i) for j, other in enumerate(slim) if j != i)]
+        if kept == left:
+            return bool(kept)
+        left = kept
+
+
+def multiway_join(frames: list[DataFrame], cells: int = 64, sizes: list[int] | None = None) -> DataFrame:
+    """The natural join of ``frames`` on their common column names. ``sizes``: rows or bytes of each, to choose the grid by; by default they are counted."""
     has = [set(f.columns) for f in frames]
     if any(len(h) != len(f.columns) for h, f in zip(has, frames, strict=True)):
         raise SchemaMismatch("column names repeat")
     shared = sorted({a for i, h in enumerate(has) for a in h if any(a in other for j, other in enumerate(has) if j != i)})
-    side = sides(shared, has, [f.count() for f in frames], cells)
+    side = sides(shared, has, sizes or [f.count() for f in frames], cells)
     dealt = []
     for f, own in zip(frames, has, strict=True):
         for a in shared:

@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, functions as F, types as S
 
 from relspark import errors as E
 from relspark.lang import tree as T
+from relspark.functions.scalar import FLATMAPS
 from relspark.operators import folds as fold_ops, sampling
-from relspark.plans.expressions import Scope, compile_, columns_of, has_aggregate, inline, is_aggregate
+from relspark.operators.durable import bytes_of
+from relspark.operators.hypercube import cyclic, multiway_join
+from relspark.plans.expressions import Scope, compile_, columns_of, flatmaps, has_aggregate, inline, is_aggregate
 from relspark.sources import files
 from relspark.sources.catalog import Catalog, Relation, relation, unique
 from relspark.types import SPARK, Typed, need, numeric
 
 
+#: Relations of fewer bytes in all are joined two by two, as Catalyst plans them.
+GRID_BYTES, UNKNOWN = 1 << 30, 1 << 60
+
+
 def plain(df: DataFrame, names, types) -> Relation:
     """A relation of ``df``'s columns by place."""
     return Relation(df.toDF(*[f"c{i}" for i in range(len(types))]), unique(list(names)), tuple(types))
@@ -87,17 +94,75 @@ class Analyzer:
 
     # Comprehensions.
 
-    def product(self, rels: dict[str, Relation]) -> tuple[Scope, DataFrame]:
-        """The cross product in order. Equalities in a later filter make it a join, which Catalyst sees to."""
+    def generated(self, df: DataFrame, scope: Scope, emits) -> tuple[DataFrame, list]:
+        """Calls that make rows, wherever they stand in the emitted expressions, become columns of their own, each distinct call one; the rows multiply."""
+        made: dict = {}
+
+        def hoist(node):
+            nonlocal df
+            node = T.rebuild(node, hoist)
+            if not (isinstance(node, T.Call) and node.name in FLATMAPS):
+                return node
+            if node not in made:
+                if has_aggregate(node):
+                    raise E.NestedAggregate(f"{node.name} of an aggregate")
+                column = compile_(node, scope, self.python)
+                df = df.withColumn(f"g{len(made)}", column.col)
+                scope.cols.append(Typed(F.col(f"g{len(made)}"), column.type))
+                made[node] = T.Pos(len(scope.cols) - 1)
+            return made[node]
+
+        emits = [(n, hoist(e) if flatmaps(e) else e) for n, e in emits]
+        return df, emits
+
+    def product(self, rels: dict[str, Relation], where=None) -> tuple[Scope, DataFrame]:
+        """The cross product in order. Equalities in a later filter make it a join, which Catalyst sees to. If ``where`` joins three or more large relations in a cycle, they are joined on a grid."""
         df, cols = None, []
-        for i, r in enumerate(rels.values()):
-            names = [f"t{i}_{j}" for j in range(len(r.names))]
-            own = r.df.toDF(*names)
-            cols += [Typed(F.col(n), t) for n, t in zip(names, r.types, strict=True)]
+        frames = [r.df.toDF(*[f"t{i}_{j}" for j in range(len(r.names))]) for i, r in enumerate(rels.values())]
+        for r, own in zip(rels.values(), frames, strict=True):
+            cols += [Typed(F.col(n), t) for n, t in zip(own.columns, r.types, strict=True)]
             df = own if df is None else df.crossJoin(own)
         if df is None:
             df = self.spark.range(1).select()
-        return Scope(rels, cols), df
+        scope = Scope(rels, cols)
+        grid = self.grid(scope, frames, where) if len(frames) > 2 and where is not None else None
+        return scope, df if grid is None else grid
+
+    def grid(self, scope: Scope, frames: list[DataFrame], where) -> DataFrame | None:
+        """The frames, joined on all equalities of ``where`` in one round, if these form a cycle and the frames are large; rows that the rest of ``where`` drops are still there."""
+        owner = [i for i, f in enumerate(frames) for _ in f.columns]
+        root = list(range(len(owner)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        todo = [where]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, T.Op) and node.op == "and":
+                todo += node.args
+            elif isinstance(node, T.Op) and node.op == "==" and all(isinstance(a, (T.Name, T.Pos, T.Dot)) for a in node.args):
+                a, b = (scope.position(x) for x in node.args)
+                if scope.cols[a].type == scope.cols[b].type:
+                    root[find(b)] = find(a)
+        classes = {c for c in map(find, range(len(owner))) if len({owner[x] for x in range(len(owner)) if find(x) == c}) > 1}
+        has = [{f"j{c}" for c in classes if any(find(x) == c and owner[x] == i for x in range(len(owner)))} for i in range(len(frames))]
+        if not cyclic(has):
+            return None
+        sizes = [bytes_of(f) for f in frames]
+        # A plan whose size nobody knows counts as small.
+        if sum(x for x in sizes if x < UNKNOWN) < GRID_BYTES or max(sizes) >= UNKNOWN and GRID_BYTES:
+            return None
+        keyed, at = [], 0
+        for f in frames:
+            first: dict = {}
+            for j, c in enumerate(f.columns):
+                first.setdefault(find(at + j), c)
+            at += len(f.columns)
+            keyed.append(f.select("*", *[F.col(c).alias(f"j{k}") for k, c in first.items() if k in classes]))
+        return multiway_join(keyed, sizes=sizes).select(*[c for f in frames for c in f.columns])
 
     def expand(self, emits, rels: dict[str, Relation], scope: Scope) -> list[tuple[str | None, object]]:
         out: list[tuple[str | None, object]] = []
@@ -132,14 +197,18 @@ class Analyzer:
         for x in T.walk([e for _, e in emits] + [where]):
             if isinstance(x, T.Unbox) and x.relation not in rels:
                 rels[x.relation] = self.var(T.Var(x.relation))
-        scope, df = self.product(rels)
+        if flatmaps(where):
+            raise E.InvalidStatement("split, sequence, ngram and bitset make rows, which a condition can't")
+        scope, df = self.product(rels, where)
         if where is not None:
             cond = compile_(where, scope, self.python)
             need("where", cond, "BOOLEAN") if cond.type not in ("LONG", "DOUBLE", "STRING") else None
             df = df.filter(cond.col if cond.type == "BOOLEAN" else cond.col != "" if cond.type == "STRING" else cond.col != 0)
         names = [n for n, _ in emits]
+        extra = range(n_own, len(scope.cols))
+        df, emits = self.generated(df, scope, emits)
         if any(has_aggregate(e) for _, e in emits):
-            df, types = self.grouped(df, scope, emits, range(n_own, len(scope.cols)))
+            df, types = self.grouped(df, scope, emits, extra)
         elif any(isinstance(x, T.Fold) for x in T.walk([e for _, e in emits])):
             df, types = self.stateful(df, scope, emits)
         elif len(rels) == 1 and len(node.emits) == 1 and isinstance(node.emits[0], T.Star):
