@@ -50,12 +50,18 @@ def operate(op: str, args: list[Typed]) -> Typed:
 
 def modulo(a: Column, b: Column) -> Column:
     """With the divisor's sign."""
-    return ((a % b) + b) % b
+    r = a % b
+    return F.when(_apart(r, b), r + b).otherwise(r)
+
+
+def _apart(r: Column, b: Column) -> Column:
+    """Whether the rest of a truncating division has another sign than the divisor."""
+    return (r != 0) & ((r < 0) != (b < 0))
 
 
 def whole_div(a: Column, b: Column) -> Column:
-    """Rounded down: what is left after taking the modulo divides without rest."""
-    return F.call_function("div", a - modulo(a, b), b)
+    """Rounded down: one less than the truncated quotient where rest and divisor differ in sign."""
+    return F.call_function("div", a, b) - F.when(_apart(a % b, b), 1).otherwise(0)
 
 
 def cast(kind: str, a: Typed) -> Typed:
@@ -113,11 +119,14 @@ def _concat(a: Typed, b: Typed) -> Typed:
 
 def _slice(kind: str, name: str):
     def build(s: Typed, begin: Typed, end: Typed) -> Typed:
-        """From begin (counted from 0) up to end."""
+        """From begin (counted from 0) up to end; negative bounds count from the end, bounds outside are moved to it."""
         need(name, s, kind)
         need(name, begin, L)
         need(name, end, L)
-        return Typed(F.substring(s.col, begin.col.cast("int") + 1, F.greatest(end.col - begin.col, F.lit(0)).cast("int")), kind)
+        size = F.length(s.col).cast("long")
+        inside = lambda c: F.least(F.greatest(F.when(c < 0, size + c).otherwise(c), F.lit(0)), size)
+        first = inside(begin.col)
+        return Typed(F.substring(s.col, (first + 1).cast("int"), F.greatest(inside(end.col) - first, F.lit(0)).cast("int")), kind)
 
     return build
 
