@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relspark.errors import NoSuchRelation
 from relspark.lang.parser import relation_key
+from relspark.operators.durable import bytes_of
 from relspark.types import type_of, widened
 
 
+#: A broadcast that a program asks for is done up to this size.
+BROADCAST_BYTES = 64 << 20
+
+
 class Relation(NamedTuple):
     """A bag of rows: columns are told by place; names are the public ones and may repeat in no relation."""
 
@@ -42,6 +47,11 @@ def frame(rel: Relation) -> DataFrame:
     return rel.df.toDF(*rel.names)
 
 
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if the optimizer's estimate of its size is at most ``most`` bytes; else Spark chooses."""
+    return df.hint("broadcast") if bytes_of(df) <= most else df
+
+
 class Catalog:
     """Registered DataFrames first, then Parquet under ``root`` (``name.parquet`` or u__p__r), then tables of Spark's own catalog."""
 
@@ -87,7 +97,7 @@ class Catalog:
         return fs.exists(path)
 
     def store(self, key: str, df: DataFrame, how: str | None = None, columns: list[str] = ()) -> None:
-        """Overwrite a relation; with ``root`` as Parquet there, else as a registered DataFrame. HASH deals rows out by the columns; a relation stored with BROADCAST is hinted where it is read."""
+        """Overwrite a relation; with ``root`` as Parquet there, else as a registered DataFrame. HASH deals rows out by the columns; a relation stored with BROADCAST is hinted where it is read, if it is small."""
         if how == "hash" and columns:
             df = df.repartition(*columns)
         elif how == "round_robin":
@@ -96,8 +106,12 @@ class Catalog:
             path, fresh = f"{self.root}/{self.path(key)}", f"{self.root}/.{self.path(key)}-{uuid.uuid4().hex}"
             # Written aside first: the rows may come from the very relation that is overwritten.
             df.write.parquet(fresh)
-            fs, old = self._file_system(path)
-            fs.delete(old, True)
-            fs.rename(self._file_system(fresh)[1], old)
+            # The old files are moved aside and deleted last, so no step leaves the relation without any.
+            fs, place = self._file_system(path)
+            aside = self._file_system(f"{fresh}-old")[1]
+            if fs.exists(place):
+                fs.rename(place, aside)
+            fs.rename(self._file_system(fresh)[1], place)
+            fs.delete(aside, True)
             df = df.sparkSession.read.schema(df.schema).parquet(path)
-        self.register(key, df.hint("broadcast") if how == "broadcast" else df)
+        self.register(key, broadcast_if_small(df) if how == "broadcast" else df)
