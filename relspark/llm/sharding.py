@@ -50,11 +50,21 @@ def _fisher_yates(n: int, seed: list[int]) -> np.ndarray:
 
 
 def _shuffler(names: list[str], seed: int):
-    def run(key, table):
-        bucket = key[0].as_py()
-        order = np.lexsort([np.asarray(table.column(c).combine_chunks()) for c in ("_row", "_id")])
-        at = order[_fisher_yates(table.num_rows, [seed, bucket])]
-        return table.take(pa.array(at)).select(names).append_column("_place", pa.array(np.arange(len(at))))
+    """A task's rows, which are those of one bucket, in the bucket's shuffled order."""
+
+    def run(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        bucket, row, ident = (np.asarray(table.column(c).combine_chunks()) for c in ("_bucket", "_row", "_id"))
+        order = np.lexsort([row, ident, bucket])
+        ends = np.flatnonzero(np.diff(bucket[order], append=-1))
+        first = 0
+        for end in (ends + 1).tolist():
+            at = order[first:end][_fisher_yates(end - first, [seed, int(bucket[order[first]])])]
+            yield from table.take(pa.array(at)).select(names).append_column("_place", pa.array(np.arange(len(at)))).to_batches()
+            first = end
 
     return run
 
@@ -79,7 +89,8 @@ def external_shuffle(docs: DataFrame, path: str, *, shards: int = 8, bucket_byte
     rows = rows.withColumn("_part", own).withColumn("_bucket", bucket(F.col("_part")))
     names = [*kept, "_shard", "_grown", "_part"]
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in rows.select(*names).schema), T.StructField("_place", T.LongType())])
-    mixed = rows.repartition(shards * per_shard, "_bucket").groupBy("_bucket").applyInArrow(_shuffler(names, seed), schema)
+    dealt = rows.repartitionById(shards * per_shard, F.col("_bucket").cast("int"))
+    mixed = dealt.mapInArrow(_shuffler(names, seed), schema)
     mixed.withColumn("_in", F.col("_shard")).write.partitionBy("_in").parquet(path)
     back = docs.sparkSession.read.schema(schema).parquet(path)
     before = Window.partitionBy("_shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
