@@ -7,7 +7,7 @@ Two texts link if the Jaccard similarity of their sets is at least 0.8.
 2. Chosen paths: each class follows the sampled tokens of its sketch, those whose hash lies below RUNS / (BASE * size). These are ``RUNS``
    repetitions at once, and the only draw: a linked pair shares no sampled token with probability below
    exp(-RUNS * 0.8 / BASE) < 2e-6. A bucket holds the classes that follow one token. Buckets of at most ``LEAF`` classes are compared by
-   brute force. The classes of larger ones are divided without loss: two that share a token which at most ``LEAF`` of them have are
+   brute force. The classes of larger ones are divided without loss: two that share a token which at most ``RARE`` of them have are
    compared in the bucket of the rarest one; two that share none can be a possible link only if common tokens are at least ``POSSIBLE`` of
    both their sketches, and such classes are compared in pairs of blocks, all blocks that meet in a larger bucket. So 2e-6 holds for all buckets, whatever
    their size. Besides, comparing sketches (``POSSIBLE``) can miss a pair of sets larger than sketches: by the binomial tail with probability
@@ -35,14 +35,19 @@ from relspark.llm.units import byte_chunks, gather, release, worker_cache
 NGRAM, SIMILARITY = 5, 0.8
 SKETCH = 128
 RUNS, BASE = 12, 0.7
-LEAF = 512
-#: Classes of a component whose whole sets one task compares with as many others.
-BLOCK = 256
+#: Classes of a bucket of a sampled token, of a bucket of a rare token, and of a block.
+LEAF, RARE, HOME = 96, 512, 1024
+#: Classes of a component, and bytes of their whole sets, that one task compares with as many others.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Share of the larger sketch that two sketches must have in common to be a possible link; linked sets share 0.8 at least, give or take 0.035.
 POSSIBLE = 0.66
 #: After the runs, links of ``PROBES`` classes with all others are looked up; runs are added until a share ``RECALL`` of them is found.
 PROBES, RECALL, MOST_RUNS = 256, 0.999, 10
+#: Tasks for components, and edges that make one more.
+LEAST_TASKS, TASK_EDGES = 8, 250_000
 KEPT_WORDS = 200_000
+#: Groups of more classes give memory back when they are done.
+RELEASE = 200
 #: Bytes of texts handled at a time; it bounds memory, not results.
 CHUNK_BYTES = 1_500_000
 
@@ -131,7 +136,7 @@ def _sets(batches):
             starts = np.concatenate([[0], ends[:-1]])
             data = pa.array([tokens[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
             part = batch.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("sig", "comp", "members", "copies")], data], names=["sig", "comp", "members", "copies", "tokens"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("sig", "comp", "blocks", "copies")], data], names=["sig", "comp", "blocks", "copies", "tokens"])
 
 
 def common_counts(lists: list[np.ndarray], width: int = 8192) -> np.ndarray:
@@ -184,7 +189,7 @@ def _possible(key, table):
     root = forest(near)
     hit = np.flatnonzero(root != np.arange(len(root)))
     del both, near
-    if len(root) > LEAF // 2:
+    if len(root) > RELEASE:
         release()
     return pa.table({"a": sig[root[hit]], "b": sig[hit]})
 
@@ -206,7 +211,7 @@ def _exact(key, table):
     counted = near & ((block[:, None] != block[None, :]) if bi != bj else True)
     links = counted @ copies
     del both, union, near, counted
-    if len(root) > BLOCK // 2:
+    if len(root) > RELEASE:
         release()
     return pa.table({"sig": sig, "root": sig[root], "links": links.astype(np.int64)})
 
@@ -215,21 +220,23 @@ def components(edges: DataFrame) -> DataFrame:
     """node, comp (its component's smallest node) of undirected ``edges`` a, b, by alternating stars (large star, small star).
 
     Each round points every node's larger neighbours, then its smaller ones, to its smallest neighbour, and adds no edges; rounds
-    number as the logarithm of the nodes.
+    number as the logarithm of the nodes. Tasks follow the number of edges, so that small graphs don't leave thousands of tiny files each round.
     """
     edges = checkpoint(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before, rows = None, edges.count()
     while True:
+        tasks = max(LEAST_TASKS, rows // TASK_EDGES)
+        edges = edges.coalesce(tasks)
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = checkpoint(small)
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
+        low = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").coalesce(tasks).union(low.select("a", F.col("m").alias("b"))).distinct()
+        edges = checkpoint(small.coalesce(tasks))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             break
-        before = state
+        before, rows = state, state[0]
     roots = edges.select(F.col("b").alias("node")).distinct().join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots.select("node", F.col("node").alias("comp")))
 
@@ -294,12 +301,12 @@ def _bucket_edges(classes: DataFrame, seed: int = 0) -> DataFrame:
         """Buckets with the same members are one, as all pairs of each are compared."""
         return counts.groupBy("who", "m").agg(F.min("path").alias("path")).select("path", "m")
 
-    def leaves(rows: DataFrame, counts: DataFrame) -> DataFrame:
-        small = distinct(counts.filter(F.col("m") <= LEAF)).select("path")
+    def leaves(rows: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+        small = distinct(counts.filter(F.col("m") <= most)).select("path")
         return rows.join(small, "path").join(sketches, "sig").groupBy("path").applyInArrow(_possible, "a long, b long")
 
     counts = sizes(level)
-    edges = leaves(level, counts)
+    edges = leaves(level, counts, LEAF)
     large = counts.filter(F.col("m") > LEAF).select("path")
     if large.isEmpty():
         return edges
@@ -309,17 +316,17 @@ def _bucket_edges(classes: DataFrame, seed: int = 0) -> DataFrame:
     tokens = held.select("sig").distinct().join(sketches, "sig").select("sig", F.size("sketch").alias("size"), F.explode("sketch").alias("t"))
     often = checkpoint(tokens.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1"))
     shared = tokens.join(maybe_broadcast(often), "t").groupBy("sig").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("c", "t"))).alias("shared"))
-    shared = shared.withColumn("need", F.ceil(F.lit(POSSIBLE) * F.col("size")).cast("int")).withColumn("rare", F.filter("shared", lambda x: x.c <= LEAF))
+    shared = shared.withColumn("need", F.ceil(F.lit(POSSIBLE) * F.col("size")).cast("int")).withColumn("rare", F.filter("shared", lambda x: x.c <= RARE))
     shared = checkpoint(shared.filter(F.size("shared") >= F.col("need")))
     first = F.slice("rare", F.lit(1), F.size("shared") - F.col("need") + 1)
     rows = checkpoint(shared.select("sig", F.explode(first.getField("t")).alias("t")).select(F.xxhash64(F.lit(2), "t").alias("path"), "sig"))
-    edges = edges.union(leaves(rows.join(classes.select("sig", "n"), "sig"), sizes(rows)))
+    edges = edges.union(leaves(rows.join(classes.select("sig", "n"), "sig"), sizes(rows), RARE))
     # Pairs that share no rare token: classes with enough common ones, within the larger buckets. Each class is in one block, of its largest
     # bucket, and blocks that meet in a bucket are compared once.
     held = checkpoint(held.join(shared.filter(F.size("shared") - F.size("rare") >= F.col("need")).select("sig"), "sig"))
     counts = held.groupBy("path").agg(F.count("*").alias("m"))
     home = held.join(maybe_broadcast(counts), "path").groupBy("sig").agg(F.first("n").alias("n"), F.max(F.struct("m", "path")).alias("home")).select("sig", "n", F.col("home.path").alias("home"))
-    blocks = home.groupBy("home").agg(F.ceil(F.count("*") / LEAF).alias("blocks"))
+    blocks = home.groupBy("home").agg(F.ceil(F.count("*") / HOME).alias("blocks"))
     home = checkpoint(home.join(maybe_broadcast(blocks), "home").select("sig", "n", F.xxhash64("home", F.pmod(F.xxhash64(F.lit(5), "sig"), F.col("blocks"))).alias("block")))
     at = checkpoint(held.select("path", "sig").join(home.select("sig", "block"), "sig").select("path", "block").distinct())
     pairs = checkpoint(at.select("path", F.col("block").alias("bi")).join(at.select("path", F.col("block").alias("bj")), "path").filter("bi <= bj").select("bi", "bj").distinct())
@@ -351,15 +358,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         edges = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(_bucket_edges(classes, 10 * more))
         comps = checkpoint(components(edges))
-    sizes = comps.groupBy("comp").agg(F.count("*").cast("int").alias("members"))
-    members = comps.join(sizes, "comp").withColumnRenamed("node", "sig")
-    wanted = checkpoint(members.join(classes.select("sig", "copies", "one"), "sig").select("sig", "comp", "members", "copies", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th")))
+    wanted = comps.withColumnRenamed("node", "sig").join(classes.select("sig", "copies", "one", "n"), "sig")
+    wanted = checkpoint(wanted.select("sig", "comp", "n", "copies", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th")))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(4 * F.sum("n") / BLOCK_BYTES)).cast("int")
+    wanted = wanted.join(wanted.groupBy("comp").agg(blocks.alias("blocks")), "comp")
     same = base.alias("d").join(maybe_broadcast(wanted).alias("w"), F.expr("d.th = w.th AND d.doc_id <=> w.doc_id"))
     path = fresh_path(spark, "sets")
-    same.select("w.sig", "w.comp", "w.members", "w.copies", "d.text").mapInArrow(_sets, "sig long, comp long, members int, copies long, tokens binary").write.parquet(path)
-    sets = spark.read.schema("sig long, comp long, members int, copies long, tokens binary").parquet(path)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    sets = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(6), "sig"), F.col("blocks")).cast("int"))
+    same.select("w.sig", "w.comp", "w.blocks", "w.copies", "d.text").mapInArrow(_sets, "sig long, comp long, blocks int, copies long, tokens binary").write.parquet(path)
+    sets = spark.read.schema("sig long, comp long, blocks int, copies long, tokens binary").parquet(path)
+    sets = sets.withColumn("block", F.pmod(F.xxhash64(F.lit(6), "sig"), F.col("blocks")).cast("int"))
     found = _pair_blocks(sets, "comp").select("comp", "bi", "bj", "sig", "block", "copies", "tokens").groupBy("comp", "bi", "bj").applyInArrow(_exact, "sig long, root long, links long")
     found = checkpoint(found)
     links = found.groupBy("sig").agg(F.sum("links").alias("links"))

@@ -56,8 +56,9 @@ def corpus(seed, n=60):
 
 @pytest.mark.parametrize("leaf", [512, 6])
 def test_like_brute_force(spark, monkeypatch, leaf):
-    monkeypatch.setattr(J, "LEAF", leaf)
-    monkeypatch.setattr(J, "BLOCK", leaf)
+    for name in ("LEAF", "RARE", "HOME", "BLOCK"):
+        monkeypatch.setattr(J, name, leaf)
+    monkeypatch.setattr(J, "BLOCK_BYTES", 400 * leaf)
     rows = corpus(leaf)
     got = {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {rows[i][0]: v for i, v in brute(rows).items()}
@@ -100,7 +101,8 @@ def test_components(spark):
 
 def test_large_groups_of_near_copies(spark, monkeypatch):
     """Groups of more than LEAF copies of one body with an ending of their own each: their large buckets have the same members."""
-    monkeypatch.setattr(J, "LEAF", 16)
+    for name in ("LEAF", "RARE", "HOME"):
+        monkeypatch.setattr(J, name, 16)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     rows = []
@@ -113,7 +115,8 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
 
 def test_short_texts_in_large_groups(spark, monkeypatch):
     """Texts of eight words, each with more than LEAF copies that have a ninth word: linked pairs share four of five runs, all in large buckets."""
-    monkeypatch.setattr(J, "LEAF", 16)
+    for name in ("LEAF", "RARE", "HOME"):
+        monkeypatch.setattr(J, name, 16)
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     rows = []
