@@ -67,9 +67,8 @@ def weight(size: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.floor((bits + 1) / 2).cast("int"))
 
 
-def _rank(doc_id: Column, p: Column, seed: str) -> Column:
+def _rank(u: Column, p: Column) -> Column:
     """Random odds by inclusion odds, mapped to [0, 1) by x / (1 + x)."""
-    u = uniform(seed, doc_id)
     x = F.try_divide(u / (1.0 - u), p / (1.0 - p))  # null if p is 0
     return x / (1.0 + x)
 
@@ -90,17 +89,17 @@ def source_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return out.withColumn("_mix_c", F.coalesce(F.try_divide(F.col("_mix_need"), F.col("_open").cast("double")), F.lit(0.0))).drop("_need", "_taken", "_open")
 
 
-def _open(size: Column) -> Column:
-    """Whether the sample decides about a document of that size, its source's rates being at hand."""
-    return (F.col("_mix_c") > 0) & (F.col("_mix_full").isNull() | (weight(size) < F.col("_mix_full")))
+def _open(w: Column) -> Column:
+    """Whether the sample decides about a document of that weight, its source's rates being at hand."""
+    return (F.col("_mix_c") > 0) & (F.col("_mix_full").isNull() | (w < F.col("_mix_full")))
 
 
 def source_cuts(sizes: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
     """``sizes``: doc_id, _mix_key, size. One row per source: its rates, and the last rank and doc_id that the sample takes."""
     rates = checkpoint(source_rates(sizes, targets))
     buckets = max(BUCKETS, 1 << (sizes.count() // BUCKET_ROWS).bit_length())
-    ranked = sizes.join(maybe_broadcast(rates.filter("_mix_c > 0").select("_mix_key", "_mix_c", "_mix_full", "_mix_need")), "_mix_key").filter(_open(F.col("size")))
-    ranked = ranked.withColumn("_rank", _rank(F.col("doc_id"), F.col("_mix_c") * weight(F.col("size")), seed)).withColumn("_bucket", F.floor(F.col("_rank") * buckets))
+    ranked = sizes.join(maybe_broadcast(rates.filter("_mix_c > 0").select("_mix_key", "_mix_c", "_mix_full", "_mix_need")), "_mix_key").withColumns({"_w": weight(F.col("size")), "_u": uniform(seed, F.col("doc_id"))}).filter(_open(F.col("_w")))
+    ranked = ranked.withColumn("_rank", _rank(F.col("_u"), F.col("_mix_c") * F.col("_w"))).withColumn("_bucket", F.floor(F.col("_rank") * buckets))
     sums = ranked.groupBy("_mix_key", "_bucket").agg(F.sum("size").alias("_words"), F.first("_mix_need").alias("_need"))
     upto = F.sum("_words").over(Window.partitionBy("_mix_key").orderBy("_bucket"))
     sums = sums.withColumn("_before", upto - F.col("_words"))
@@ -115,14 +114,14 @@ def source_cuts(sizes: DataFrame, targets: DataFrame, seed: str = SEED) -> DataF
     return rates.join(last.select("_mix_key", F.col("_bucket").alias("_mix_bucket")), "_mix_key", "left").join(ends, "_mix_key", "left").withColumn("_mix_buckets", F.lit(buckets))
 
 
-def _copies(doc_id: Column, size: Column, seed: str) -> Column:
-    rank = _rank(doc_id, F.col("_mix_c") * weight(size), seed)
-    bucket = F.floor(rank * F.col("_mix_buckets"))
-    ident = F.coalesce(doc_id.cast("string"), F.lit(""))
-    end = F.col("_mix_end")
-    hit = (bucket < F.col("_mix_bucket")) | ((bucket == F.col("_mix_bucket")) & end.isNotNull() & ((rank < end["_rank"]) | ((rank == end["_rank"]) & (ident <= end["_id"]))))
-    more = F.when(F.coalesce(weight(size) >= F.col("_mix_full"), F.lit(False)), 1).when(_open(size) & F.coalesce(hit, F.lit(False)), 1).otherwise(0)
-    return (F.col("_mix_whole") + more).cast("long")
+def with_copies(rows: DataFrame, doc_id: Column, size: Column, seed: str) -> DataFrame:
+    """``rows``, which have their source's cut, with _mix_n, how often each is taken. Draw, rank and weight are columns of their own, so each is computed once a row."""
+    rows = rows.withColumns({"_mix_w": weight(size), "_mix_u": uniform(seed, doc_id), "_mix_id": F.coalesce(doc_id.cast("string"), F.lit(""))})
+    rows = rows.withColumn("_mix_rank", _rank(F.col("_mix_u"), F.col("_mix_c") * F.col("_mix_w")))
+    bucket, end, rank = F.floor(F.col("_mix_rank") * F.col("_mix_buckets")), F.col("_mix_end"), F.col("_mix_rank")
+    hit = (bucket < F.col("_mix_bucket")) | ((bucket == F.col("_mix_bucket")) & end.isNotNull() & ((rank < end["_rank"]) | ((rank == end["_rank"]) & (F.col("_mix_id") <= end["_id"]))))
+    more = F.when(F.coalesce(F.col("_mix_w") >= F.col("_mix_full"), F.lit(False)), 1).when(_open(F.col("_mix_w")) & F.coalesce(hit, F.lit(False)), 1).otherwise(0)
+    return rows.withColumn("_mix_n", (F.col("_mix_whole") + more).cast("long"))
 
 
 def plan_mix(docs: DataFrame, *, weights=WEIGHTS, share=(3, 2), most: int = 2, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +133,7 @@ def plan_mix(docs: DataFrame, *, weights=WEIGHTS, share=(3, 2), most: int = 2, s
 def mix_sizes(docs: DataFrame, **how) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target (its source's), copies, taken (words, repeats counted)."""
     sizes, cuts = plan_mix(docs, **how)
-    out = sizes.join(maybe_broadcast(cuts), "_mix_key").withColumn("copies", _copies(F.col("doc_id"), F.col("size"), how.get("seed", SEED)))
+    out = with_copies(sizes.join(maybe_broadcast(cuts), "_mix_key"), F.col("doc_id"), F.col("size"), how.get("seed", SEED)).withColumnRenamed("_mix_n", "copies")
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -142,7 +141,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns. Texts stay in their partitions."""
     _, cuts = plan_mix(docs, **how)
     doc_id, source, text = (F.col(placed(docs, c)) for c in ("doc_id", "source", "text"))
-    keyed = by_place(docs).withColumn("_mix_key", source_key(source)).join(maybe_broadcast(cuts), "_mix_key")
-    copies = keyed.withColumn("_mix_n", _copies(doc_id, word_count(text), how.get("seed", SEED))).filter("_mix_n > 0")
-    copies = copies.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int"))))
-    return named_again(copies, docs)
+    # Words are counted once a row: each step refers to columns of the one before, and no filter is there to be pushed below them.
+    keyed = by_place(docs).withColumns({"_mix_key": source_key(source), "_mix_size": word_count(text)})
+    copies = with_copies(keyed.join(maybe_broadcast(cuts), "_mix_key"), doc_id, F.col("_mix_size"), how.get("seed", SEED))
+    return named_again(copies.withColumn("_mix_i", F.explode(F.array_repeat(F.lit(0), F.col("_mix_n").cast("int")))), docs)
