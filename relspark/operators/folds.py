@@ -219,7 +219,7 @@ def running(df: DataFrame, order: list[str], folds: list[tuple[T.Stateful, list[
         before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
         totals = totals.select("_range", *[f_of[h](c).over(before).alias(f"_b{c}") for c, h in flat])
         inside = Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_first() for c in order] or [F.lit(0)]).rowsBetween(Window.unboundedPreceding, 0)
-        rows = ranged.select("*", *[f_of[h](c).over(inside).alias(f"_w{c}") for c, h in flat]).join(totals, "_range")
+        rows = ranged.select("*", *[f_of[h](c).over(inside).alias(f"_w{c}") for c, h in flat]).join(F.broadcast(totals), "_range")  # one row a range
         out = []
         no_columns = lambda n: None
         for i, ((f, _), ks) in enumerate(zip(folds, kinds, strict=True)):
