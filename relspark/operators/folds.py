@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relspark import errors as E
 from relspark.lang import tree as T
+from relspark.operators.durable import bytes_of
 from relspark.plans.expressions import compile_
 from relspark.types import SPARK, Typed
 
 #: Groups whose states one task holds.
 STATES = 100_000
+SPREAD_BYTES = 1 << 30
 _EXTREMES = {"least": "min", "lesser": "min", "greatest": "max", "greater": "max"}
 
 
@@ -163,6 +165,10 @@ def _by_partition(df: DataFrame, keys: list[str], func: T.Stateful, args: list[T
     from relspark.functions.evaluate import evaluate
 
     rows = df.select(*keys, *[a.col.alias(f"_a{i}") for i, a in enumerate(args)])
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if bytes_of(rows) <= SPREAD_BYTES and 0 < len(rows.inputFiles()) < cores:
+        # A small table in fewer files than cores would keep one Python worker busy.
+        rows = rows.repartition(cores)
     schema = S.StructType([*rows.select(*keys).schema, S.StructField("_l", S.StructType([S.StructField(f"s{i}", SPARK[k]) for i, k in enumerate(kinds)]))])
     states, params, n_keys, most = func.states, func.args, len(keys), STATES
     cast = [{"DOUBLE": float, "LONG": int}.get(k, lambda x: x) for k in kinds]
