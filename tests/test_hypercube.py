@@ -37,3 +37,20 @@ def test_programs_join_large_cycles_on_a_grid(spark, monkeypatch):
     monkeypatch.setattr(analyzer, "GRID_BYTES", 0)
     assert Counter(map(tuple, Session(spark, dict(tables)).query(program, "out").collect())) == want
     assert "_cell" in Session(spark, dict(tables)).explain(program, "out")
+
+
+def test_cells_are_joined_without_another_shuffle(spark, monkeypatch):
+    """Ways of two edges are many more than edges: they are neither shuffled nor sorted."""
+    monkeypatch.setattr(analyzer, "GRID_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = random.Random(3)
+        edges = [(rng.randrange(12), rng.randrange(12)) for _ in range(70)]
+        tables = {"e": spark.createDataFrame([*edges, (4, None)], "a long, b long")}
+        program = "E = scan(e); out = [from E as p, E as q, E as r where p.b = q.a and q.b = r.b and p.a = r.a and p.a < p.b emit p.a as x, q.a as y, r.b as z, p.b as w];"
+        plan = Session(spark, dict(tables)).explain(program, "out")
+        assert plan.count("REPARTITION_BY_NUM") > 0 and "ENSURE_REQUIREMENTS" not in plan and "SortMergeJoin" not in plan
+        want = Counter((a, b, d, b) for a, b in edges for c, d in edges if b == c for e, f in edges if f == d and a == e and a < b)
+        assert Counter(map(tuple, Session(spark, dict(tables)).query(program, "out").collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
