@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from relspark.datalog import planner
 from relspark.operators import fixpoint, graphs
 from relspark.session import Session
 from test_recursive_queries import closure
@@ -65,6 +66,14 @@ def test_programs_of_closures_run_no_rounds(spark, monkeypatch, program):
     assert Counter(map(tuple, got.collect())) == Counter(closure(set(pairs)))
 
 
+def test_datalog_closure_runs_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "stored", None)
+    pairs = edges(random.Random(6), 25, 30)
+    session = Session(spark, {"e": spark.createDataFrame(pairs, "x long, y long")})
+    got = planner.run(session, "L(x, y) :- e(x, y). P(x, y) :- L(x, y). P(x, z) :- P(x, y), L(y, z).")["P"]
+    assert Counter(map(tuple, got.collect())) == Counter(closure(set(pairs)))
+
+
 @pytest.mark.parametrize("program, want", [
     # Backwards, other emits, another start or a condition more: other relations, by rounds.
     ("do P = [x, y] <- E + [from P, E where P.x = E.x emit P.x as x, E.y as y]; until convergence;", {(1, 2), (2, 3), (3, 4)}),
