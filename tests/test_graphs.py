@@ -83,3 +83,17 @@ def test_datalog_closure_runs_no_rounds(spark, monkeypatch):
 def test_other_recursions_keep_their_results(spark, program, want):
     got = Session(spark, {"e": spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "x long, y long")}).query("E = scan(e); " + program, "P")
     assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_least_along_pairs_of_one_way(spark, monkeypatch):
+    """Where pairs go one way, the least node that leads to each is no component's."""
+    program = "E = scan(e); {both} do C = [v, min(c) as c] <- [from E emit x as v, x as c] + [from C, E where C.v = E.x emit E.y as v, C.c as c]; until convergence;"
+    run = lambda pairs, both="": Counter(map(tuple, Session(spark, {"e": spark.createDataFrame(pairs, "x long, y long")}).query(program.format(both=both), "C").collect()))
+    pairs = [(5, 1), (1, 7), (8, 7), (3, 8), (3, 3)]
+    assert run(pairs) == Counter({5: 5, 1: 1, 7: 1, 8: 3, 3: 3}.items())
+    assert run([*pairs, (None, 8)]) == Counter({5: 5, 1: 1, 7: 1, 8: 3, 3: 3, None: None}.items())
+    both = "E = E + [from E emit y as x, x as y];"
+    assert run(pairs, both) == Counter(least(pairs).items())
+    monkeypatch.setattr(fixpoint, "ROUNDS", 0)
+    monkeypatch.setattr(graphs, "LOCAL", 0)
+    assert run(pairs, both) == Counter(least(pairs).items())
