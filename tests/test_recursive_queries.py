@@ -62,3 +62,17 @@ def test_links(spark, tables):
 
 def test_datalog_recursive(spark, tables):
     assert rows(spark, "datalog_recursive", tables) == Counter((a, b) for a in KEYS for b in KEYS if a < b and a % 9 == b % 9)
+
+
+def test_loops_compute_once_what_they_only_read(spark, monkeypatch):
+    """Neither the next round nor the next statement computes a join before the loop, or a statement's result, again."""
+    from relspark import session
+
+    plans, kept = [], session.stored
+    monkeypatch.setattr(session, "stored", lambda df: [plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df)][1])
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5)], "a long, b long")
+    program = """E = scan(e); Two = distinct([from E as p, E as q where p.b = q.a emit p.a as x, q.b as y]); Edge = [1 as v]; Met = Edge;
+        do Next = distinct([from Edge, Two where Edge.v = Two.x emit Two.y as v]); Edge = diff(Next, Met); Met = Met + Edge; while [from Edge emit count(*) > 0]; out = Met;"""
+    assert Counter(map(tuple, session.Session(spark, {"e": e}).query(program, "out").collect())) == Counter([(1,), (3,), (5,)])
+    # The join before the loop; then, each round, the new rows (one join for them, one for what is known) and all rows (none).
+    assert [p.count("Join ") for p in plans] == [1] + [2, 0] * 3
