@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+from relspark.operators import hypercube
 from relspark.operators.hypercube import cyclic, multiway_join, sides
 from relspark.plans import analyzer
 from relspark.session import Session
@@ -54,3 +55,11 @@ def test_cells_are_joined_without_another_shuffle(spark, monkeypatch):
         assert Counter(map(tuple, Session(spark, dict(tables)).query(program, "out").collect())) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cells_grow_with_the_rows(spark, monkeypatch):
+    """A cell's relations are in memory, so there are more cells for more rows."""
+    monkeypatch.setattr(hypercube, "CELL_ROWS", 30)
+    df = spark.createDataFrame([(i % 20, i // 20) for i in range(400)], "a long, b long")
+    got = multiway_join([df.toDF("x", "y"), df.toDF("y", "z"), df.toDF("z", "x")], cells=8)
+    assert got.count() == 20**3 and "hashpartitioning(_cell" in got._jdf.queryExecution().toString() and ", 64)" in got._jdf.queryExecution().toString()
