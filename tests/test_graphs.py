@@ -97,3 +97,42 @@ def test_least_along_pairs_of_one_way(spark, monkeypatch):
     monkeypatch.setattr(fixpoint, "ROUNDS", 0)
     monkeypatch.setattr(graphs, "LOCAL", 0)
     assert run(pairs, both) == Counter(least(pairs).items())
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 1])
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">=", None])
+def test_closure_of_a_join_makes_no_pairs(spark, monkeypatch, op, bits):
+    monkeypatch.setattr(graphs, "BITS", bits)
+    monkeypatch.setattr(graphs, "closure", None)
+    rng = random.Random(f"{op}")
+    a, b = ([(rng.randrange(24) + 200 * (i % 2), rng.randrange(120)) for i in range(90)] for _ in range(2))
+    b += [(k, v) for k, v in a if v % 2] + [(None, 5), (None, 6)]
+    a += a[:9] + [(None, 5)]
+    if op:
+        a, b = a + [(3, None)], b + [(3, None)]
+    better = {"<": int.__lt__, "<=": int.__le__, ">": int.__gt__, ">=": int.__ge__, None: lambda x, y: True}[op]
+    links = {(x, y) for k, x in a for j, y in b if k is not None and k == j and x is not None and y is not None and better(x, y)}
+    for kind, of in (("long", lambda v: v), ("string", lambda v: None if v is None else f"{v:03}")):
+        session = Session(spark, {n: spark.createDataFrame([(k, of(v)) for k, v in rows], f"k long, v {kind}") for n, rows in (("a", a), ("b", b))})
+        program = f"A = scan(a); B = scan(b); E = [from A, B where B.k = A.k {'and A.v ' + op + ' B.v' if op else ''} emit A.v as x, B.v as y]; do P = [x, y] <- E + [from P, E where P.y = E.x emit P.x as x, E.y as y]; until convergence;"
+        assert Counter(map(tuple, session.query(program, "P").collect())) == Counter((of(x), of(y)) for x, y in closure(links))
+
+
+def test_closure_of_a_join_in_datalog(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "closure", None)
+    rows = [(k, k % 4 if k < 30 else k % 7) for k in range(60)]
+    session = Session(spark, {"s": spark.createDataFrame(rows, "x long, k int")})
+    got = planner.run(session, "L(x, y) :- s(x, k), s(y, k), x > y. P(x, y) :- L(x, y). P(x, z) :- L(x, y), P(y, z).")["P"]
+    assert Counter(map(tuple, got.collect())) == Counter(closure({(x, y) for x, k in rows for y, j in rows if k == j and x > y}))
+
+
+def test_closure_of_a_join_with_null_ends(spark):
+    e = spark.createDataFrame([(1, None), (1, 2), (2, 3), (2, 2)], "k long, v long")
+    got = Session(spark, {"e": e}).query("A = scan(e); B = scan(e); E = [from A, B where A.k = B.k emit A.v as x, B.v as y]; do P = [x, y] <- E + [from P, E where P.y = E.x emit P.x as x, E.y as y]; until convergence;", "P")
+    assert Counter(map(tuple, got.collect())) == Counter([(None, None), (None, 2), (2, None), (None, 3), (3, None), *((x, y) for x in (2, 3) for y in (2, 3))])
+
+
+def test_a_variable_written_again_has_its_own_pairs(spark):
+    session = Session(spark, {"e": spark.createDataFrame([(1, 2), (1, 3)], "k long, v long")})
+    got = session.query("A = scan(e); E = [from A as a, A as b where a.k = b.k and a.v < b.v emit a.v as x, b.v as y]; A = [from A emit k, v + 10 as v]; do P = [x, y] <- E + [from P, E where P.y = E.x emit P.x as x, E.y as y]; until convergence; out = P + [from A emit k as x, v as y];", "out")
+    assert Counter(map(tuple, got.collect())) == Counter([(2, 3), (1, 12), (1, 13)])
