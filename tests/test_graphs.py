@@ -183,3 +183,23 @@ def test_pairs_both_ways_give_what_rounds_give(spark, monkeypatch, program):
         with monkeypatch.context() as m:
             m.setattr(fixpoint, "direct", lambda *a: None)
             assert got == run()
+
+
+@pytest.mark.parametrize("pairs", [[(1, k) for k in range(2, 30)], edges(random.Random(10), 400, 900), edges(random.Random(11), 400, 100)])
+def test_stars_of_parts(monkeypatch, pairs):
+    """A task looks at so many pairs together; trees that are small against that go on, others leave it."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(graphs, "SEEN", 100)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs[i : i + 16], strict=True)], names=["x", "y"]) for i in range(0, len(pairs), 16)]
+    got = [(a, b) for batch in graphs._stars(iter(20 * batches)) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert set(least(got).items()) == set(least(pairs).items()) and all(a <= b for a, b in got)
+    assert len(pairs) > 50 or len(got) < 2 * len(least(pairs))
+
+
+def test_nodes_of_one_pair_need_no_rounds(spark, monkeypatch):
+    """A star around one node, and what hangs on it, end without contraction."""
+    monkeypatch.setattr(graphs, "LOCAL", 5)
+    monkeypatch.setattr(graphs.F, "xxhash64", None)
+    pairs = [*((0, k) for k in range(1, 40)), *((50, k) for k in range(51, 70)), (80, 81), (90, 90)]
+    assert Counter(map(tuple, graphs.components(spark.createDataFrame(pairs, "x long, y long")).collect())) == Counter(least(pairs).items())
