@@ -12,8 +12,8 @@ paths come in the order of their perturbed values, all distinct, and only k + 1
 the threshold of the inclusion probabilities 1 - exp(-exp(log_prob - threshold)).
 
 No piece crosses the border from a visible character to a blank, or a line feed, so a text's lattice is a chain of its
-words' lattices; equal words of a batch share one. Draws are hashes of the row key (doc_id), path, word and step, so they don't
-depend on the batch, and rows with equal keys and texts agree.
+words' lattices; equal words share one, which a worker keeps for later texts while there is room. Draws are hashes of the row key
+(doc_id), path, word and step, so they don't depend on the batch, and rows with equal keys and texts agree.
 
 Defined cases: a null or empty text has one segmentation, without pieces; a text with fewer than k segmentations has as many rows,
 with inclusion 1; null doc_ids have one key; texts with the blank mark itself keep it, as bytes; an empty table gives an empty
@@ -23,6 +23,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ RAW = "\x00"
 FAR = -1e300
 #: Bytes of texts handled at a time; it bounds memory, not results.
 CHUNK_BYTES = 1_200_000
+#: Edges of words' lattices kept for the next texts, 32 bytes each; it bounds memory, not results.
+KEPT_EDGES = 4_000_000
 SCHEMA = "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean, pieces array<int>"
 _WORD = re.compile(r" *[^ ]+| +$")
 #: Texts that ``cut`` must see: empty ones, and blanks that begin, end or follow each other.
@@ -88,10 +91,6 @@ def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(code) or words, codes, n
 
 
-def spelled(key: str) -> str:
-    return key[1:] if key[:1] == RAW else key if key == "\n" else " " + key
-
-
 class Table:
     """Numbers by 64-bit hashes: an open-addressing table a quarter full, probed for all keys at once."""
 
@@ -162,9 +161,9 @@ class Vocabulary:
             longest[len(piece)][h] = i
         #: By length: prefixes' hashes, and the piece that each is, or -1.
         self.tables = [Table(longest[k]) for k in range(1, max(longest) + 1)]
-        self.spell_len = np.array([len(s) for s in self.spelling], np.int64)
-        self.spell_start = np.cumsum(self.spell_len) - self.spell_len
-        self.spell_bytes = np.frombuffer(b"".join(self.spelling), np.uint8)
+        self.spellings = pa.array(self.spelling, pa.large_binary())
+        #: Of the words seen so far.
+        self.lattice = Lattice(self)
 
     @staticmethod
     def get(path: str, alpha: float) -> Vocabulary:
@@ -178,115 +177,201 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of pieces as UTF-8, without the blank that encoding puts first."""
-        out = self.spell_bytes[gather(self.spell_start[ids], self.spell_len[ids])].tobytes()
-        return out[1:] if out[:1] == b" " else out
+        return self.decode_all(ids, np.array([len(ids)]))[0]
 
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The same for several texts, whose pieces follow each other."""
+        _, ends, out = self.spellings.take(pa.array(ids)).buffers()
+        ends = np.frombuffer(ends, np.int64)[np.concatenate([[0], np.cumsum(counts)])].tolist() if len(ids) else [0] * (len(counts) + 1)
+        out = out.to_pybytes() if ends[-1] else b""
+        return [out[a + (out[a : min(a + 1, b)] == b" ") : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-class Lattice:
-    """The lattices of distinct words. Nodes are numbered by their distance from the word's end, so edges lead to smaller numbers; the first nodes are the ends."""
 
-    def __init__(self, vocab: Vocabulary, words: list[str]):
-        length = np.array([len(w) for w in words], np.int64)
+class Lattice:
+    """The lattices of distinct words. Node 0 is the end of all words; a word's characters are nodes that follow each other, and a node's edges follow each other, too.
+    Words stay from call to call while there is room; then those that came often do. What a word's lattice holds doesn't depend on the others."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.forget()
+
+    def forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.nodes, self.edges = 1, 0
+        self.first = np.zeros(2, np.int64)
+        self.target, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.log_p, self.cum, self.log_rest = np.zeros(0), np.zeros(0), np.zeros(0)
+        self.root, self.length, self.hits = (np.zeros(0, np.int64) for _ in range(3))
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The number of each word (keys as ``cut`` gives them); new ones are added."""
+        found = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(found < 0)
+        if len(at):
+            new = [words[i] for i in at.tolist()]
+            found[at] = np.arange(len(self.codes), len(self.codes) + len(new))
+            self.codes.update(zip(new, found[at].tolist(), strict=True))
+            self._add([w[1:] if w[:1] == RAW else w if w == "\n" else " " + w for w in new])
+        return found
+
+    def trim(self) -> None:
+        """Keep at most KEPT_EDGES edges: when there are more, the words that came most often stay, with half as many."""
+        if self.edges <= KEPT_EDGES:
+            return
+        end = self.root + self.length
+        size = self.first[end] - self.first[self.root]
+        least = 2
+        while size[self.hits >= least].sum() > KEPT_EDGES // 2:
+            least *= 2
+        keep = np.flatnonzero(self.hits >= least)
+        if not len(keep):
+            self.forget()
+            return
+        root, length, size = self.root[keep], self.length[keep], size[keep]
+        edges, nodes = gather(self.first[root], size), gather(root, length)
+        now = np.where(length > 0, 1 + np.cumsum(length) - length, 0)
+        target = self.target[edges]
+        self.target[: len(edges)] = np.where(target > 0, target + np.repeat(now - root, size), 0)
+        for values in (self.piece, self.log_p, self.cum, self.log_rest):
+            values[: len(edges)] = values[edges]
+        self.first[2 : 2 + len(nodes)] = np.cumsum(self.first[nodes + 1] - self.first[nodes])
+        self.nodes, self.edges = 1 + len(nodes), len(edges)
+        if len(self.piece) > 2 * KEPT_EDGES:
+            for name in ("target", "piece", "log_p", "cum", "log_rest"):
+                setattr(self, name, getattr(self, name)[: self.edges].copy())
+            self.first = self.first[: self.nodes + 1].copy()
+        words = list(self.codes)
+        self.codes = {words[i]: n for n, i in enumerate(keep.tolist())}
+        self.root, self.length, self.hits = now, length, self.hits[keep] // 2
+
+    def _append(self, name: str, used: int, values: np.ndarray) -> None:
+        """Put values behind the used part of an array, which grows by halves."""
+        old, need = getattr(self, name), used + len(values)
+        if need > len(old):
+            grown = np.empty(max(need, len(old) * 3 // 2), old.dtype)
+            grown[:used] = old[:used]
+            setattr(self, name, grown)
+        getattr(self, name)[used:need] = values
+
+    def _add(self, words: list[str]) -> None:
+        vocab = self.vocab
+        length = np.fromiter(map(len, words), np.int64, len(words))
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         chars[chars == ord(BLANK)] = OWN_BLANK
         chars[chars == ord(" ")] = ord(BLANK)
+        n = len(chars)
         ends = np.cumsum(length)
-        left = np.repeat(ends, length) - np.arange(len(chars))
-        # A node for each character and one for each end, ordered by distance from the end.
-        distance = np.concatenate([left, np.zeros(len(words), np.int64)])
-        # Small numbers are sorted by their digits, which is faster.
-        order = np.argsort(distance.astype(np.uint16) if len(distance) and distance.max() < 1 << 16 else distance, kind="stable")
-        number = np.empty(len(order), np.int64)
-        number[order] = np.arange(len(order))
-        end_node = number[len(chars) :]
-        # Where a character's edge of length k leads: the node k characters on, or the word's end.
-        own_end = np.repeat(end_node, length)
-        sources, targets, pieces = [], [], []
-        alive = np.arange(len(chars))
-        h = np.zeros(len(chars), np.uint64)
-        single = np.zeros(len(chars), bool)
+        left = np.repeat(ends, length) - np.arange(n)
+        sources, pieces = [], []
+        degree = np.zeros(n, np.int64)
+        alive, h = np.arange(n), np.zeros(n, np.uint64)
         for k, table in enumerate(vocab.tables, 1):
-            alive = alive[left[alive] >= k]
+            if k > 1:
+                long = left[alive] >= k
+                alive, h = alive[long], h[long]
             if not len(alive):
                 break
-            now = h[alive] * vocab.B + chars[alive + (k - 1)] + np.uint64(1)
-            piece = table.find(now)
+            h = h * vocab.B + chars[alive + (k - 1)] + np.uint64(1)
+            piece = table.find(h)
             hit = np.flatnonzero(piece != Table.FREE)
-            alive, piece = alive[hit], piece[hit]
-            h[alive] = now[hit]
-            real = piece >= 0
-            src = alive[real]
-            sources.append(src)
-            targets.append(np.where(left[src] == k, own_end[src], number[np.minimum(src + k, len(chars) - 1)]).astype(np.int32))
-            pieces.append(piece[real])
+            alive, piece, h = alive[hit], piece[hit], h[hit]
+            real = np.flatnonzero(piece >= 0)
+            src, piece = alive[real], piece[real]
             if k == 1:
-                single[src] = True
-        rest = np.flatnonzero(~single)
-        sources.append(rest)
-        targets.append(np.where(left[rest] == 1, own_end[rest], number[np.minimum(rest + 1, len(chars) - 1)]))
-        # Characters in bytes: vocab.size plus the character.
-        pieces.append((vocab.size + chars[rest].astype(np.int64)).astype(np.int32))
+                # Characters in bytes: vocab.size plus the character.
+                single = vocab.size + chars.astype(np.int32)
+                single[src] = piece
+                src, piece = np.arange(n), single
+            sources.append(src)
+            pieces.append(piece)
+            degree[src] += 1
         # Edges in order of their source, then length: each list has a source once, so edges go straight to their places.
-        sources = [number[x] for x in sources]
-        degree = np.zeros(len(number), np.int64)
-        for x in sources:
-            degree[x] += 1
-        free = np.cumsum(degree) - degree
-        source = np.repeat(np.arange(len(number)), degree)
-        self.target, self.piece = np.empty(len(source), np.int32), np.empty(len(source), np.int32)
-        for x, target, piece in zip(sources, targets, pieces, strict=True):
-            at = free[x]
-            self.target[at], self.piece[at] = target, piece
-            free[x] = at + 1
-        del sources, targets, pieces, alive, h, free, degree
-        score = vocab.score[np.minimum(self.piece, vocab.size)]
-        self.first = np.searchsorted(source, np.arange(len(number) + 1))
-        self.ends = len(words)
-        back = np.zeros(len(number))
-        bounds = np.searchsorted(distance[order], np.arange(int(distance.max(initial=0)) + 2))
-        for a, b in zip(bounds[1:-1].tolist(), bounds[2:].tolist(), strict=True):
-            e0, e1 = self.first[a], self.first[b]
-            back[a:b] = np.logaddexp.reduceat(score[e0:e1] + back[self.target[e0:e1]], self.first[a:b] - e0)
-        self.log_p = np.minimum(score + back[self.target] - back[source], 0.0)
-        self._likeliest_first()
-        p = np.exp(self.log_p)
-        cum = np.cumsum(p)
-        begin = self.first[source]
-        cum = np.minimum(cum - (cum[begin] - p[begin]), 1.0)
-        last = self.first[1:][self.first[1:] > self.first[:-1]] - 1
-        cum[last] = 1.0
-        self.cum = source + cum
-        only = self.first[source + 1] - begin == 1
-        self.log_p[only] = 0.0
-        with np.errstate(divide="ignore"):
-            self.log_rest = np.where(only, -np.inf, np.log1p(-np.minimum(p, 1 - 1e-16)))
-        self.p, self.source = p, source
-        self.root = np.where(length > 0, number[np.minimum(ends - length, max(len(chars) - 1, 0))] if len(chars) else end_node, end_node)
-
-    def _likeliest_first(self) -> None:
-        """Put each node's likeliest edge before its others, where a draw most often ends."""
-        begin = self.first[:-1][self.first[1:] > self.first[:-1]]
-        top = np.maximum.reduceat(self.log_p, begin) if len(begin) else np.zeros(0)
-        hit = np.flatnonzero(self.log_p == np.repeat(top, np.diff(np.append(begin, len(self.log_p)))))
-        best = hit[np.searchsorted(hit, begin)]
-        for values in (self.target, self.piece, self.log_p):
-            values[begin], values[best] = values[best], values[begin].copy()
+        first = np.cumsum(degree) - degree
+        total = int(degree.sum())
+        target, piece = np.empty(total, np.int32), np.empty(total, np.int32)
+        free = first.copy()
+        for k, (src, found) in enumerate(zip(sources, pieces, strict=True), 1):
+            at = free[src]
+            target[at], piece[at] = np.where(left[src] == k, -1, src + k), found
+            free[src] = at + 1
+        del sources, pieces, alive, h, free
+        # From the words' ends backward: all nodes at one distance from an end at once.
+        order = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
+        size = degree[order]
+        edges = gather(first[order], size)
+        begin = np.cumsum(size) - size
+        bounds = np.cumsum(np.bincount(left)) if n else np.zeros(1, np.int64)
+        score = vocab.score[np.minimum(piece, vocab.size)][edges]
+        to = target[edges]
+        back = np.zeros(n + 1)  # the last is the end's
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            e0, e1 = int(begin[a]), int(begin[b]) if b < n else total
+            value, at, own = score[e0:e1], begin[a:b] - e0, size[a:b]
+            value += back[to[e0:e1]]
+            top = np.maximum.reduceat(value, at)
+            back[order[a:b]] = whole = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, own)), at))
+            value -= np.repeat(whole, own)
+        log_p = np.empty(total)
+        log_p[edges] = np.minimum(score, 0.0)
+        del score, to, edges, order, begin, size
+        only = first[degree == 1]
+        log_p[only] = 0.0
+        # Each node's likeliest edge goes before its others, where a draw most often ends.
+        best, most, node, j = first.copy(), log_p[first], np.flatnonzero(degree > 1), 1
+        while len(node):
+            at = first[node] + j
+            value = log_p[at]
+            more = np.flatnonzero(value > most[node])
+            best[node[more]], most[node[more]] = at[more], value[more]
+            j += 1
+            node = node[degree[node] > j]
+        moved = np.flatnonzero(best != first)
+        one, other = first[moved], best[moved]
+        for values in (target, piece, log_p):
+            values[one], values[other] = values[other], values[one]
+        cum = np.exp(log_p)
+        log_rest = np.log1p(-np.minimum(cum, 1 - 1e-16))
+        log_rest[only] = -np.inf
+        node, j = np.flatnonzero(degree > 1), 1
+        while len(node):
+            at = first[node] + j
+            cum[at] += cum[at - 1]
+            j += 1
+            node = node[degree[node] > j]
+        cum[first + degree - 1] = 1.0
+        target = np.where(target < 0, 0, target + self.nodes)
+        for name, values in (("target", target), ("piece", piece), ("log_p", log_p), ("cum", cum), ("log_rest", log_rest)):
+            self._append(name, self.edges, values)
+        self._append("first", self.nodes + 1, self.edges + first + degree)
+        # Between two line feeds is a word without characters.
+        self.root = np.concatenate([self.root, np.where(length > 0, self.nodes + ends - length, 0)])
+        self.length = np.concatenate([self.length, length])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
+        self.nodes, self.edges = self.nodes + n, self.edges + total
+
+    def source(self, edge: int) -> int:
+        return int(np.searchsorted(self.first[: self.nodes + 1], edge, "right")) - 1
 
     def descend(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward samples from the nodes to their words' ends: (edges of each, in order and joined, number of each)."""
-        at = np.flatnonzero(node >= self.ends)
+        count = np.zeros(len(node), np.int64)
+        at = np.flatnonzero(node)
         node, key = node[at], key[at]
         steps = []
-        count = np.zeros(len(key) if not len(at) else int(at[-1]) + 1, np.int64)
         s = 0
         while len(at):
             edge, u = self.first[node], draw(key, s)
-            other = np.flatnonzero(u >= self.p[edge])
-            edge[other] = np.searchsorted(self.cum, node[other] + u[other], "right")
+            more = np.flatnonzero(u >= self.cum[edge])
+            beyond, high = edge[more], u[more]
+            while len(more):
+                beyond += 1
+                edge[more] = beyond
+                go = np.flatnonzero(high >= self.cum[beyond])
+                more, beyond, high = more[go], beyond[go], high[go]
             steps.append((at, edge))
             count[at] += 1
             node = self.target[edge]
-            go = np.flatnonzero(node >= self.ends)
+            go = np.flatnonzero(node)
             at, node, key = at[go], node[go], key[go]
             s += 1
         start = np.cumsum(count) - count
@@ -320,8 +405,10 @@ def _below(bound, mu, u):
 def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples in order: (piece ids, log probability, perturbed log probability, inclusion probability)."""
     words, codes, n = words_of(texts)
-    lat = Lattice(vocab, [spelled(w) for w in words] or [""])
-    root = lat.root[codes]
+    lat = vocab.lattice
+    place = lat.places(words)
+    lat.hits[place] += np.bincount(codes, minlength=len(words))
+    root = lat.root[place][codes]
     last = np.cumsum(n)
     first = last - n
     row = np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64)
@@ -345,10 +432,12 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
         lp = np.concatenate([[0.0], np.cumsum(lat.log_p[edges])])
         prefix = lp[:-1] - np.repeat(lp[starts] - before, sizes)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        open_ = np.flatnonzero(lat.log_rest[edges] > -np.inf)
+        rest = lat.log_rest[edges]
+        open_ = np.flatnonzero(rest > -np.inf)
         own = owner[open_]
         key = word_keys(path + 1000, occurrence[open_])
-        g = _below(bound[own], prefix[open_] + lat.log_rest[edges[open_]], draw(key, open_ - starts[own]))
+        # What a value is before it's held below the bound; that changes no order.
+        g = prefix[open_] + rest[open_] - np.log(-np.log(draw(key, open_ - starts[own])))
         if len(open_):
             begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             size = np.diff(np.concatenate([begins, [len(own)]]))
@@ -357,8 +446,8 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
                 top = np.maximum.reduceat(g, begins)
                 hit = np.flatnonzero(g == np.repeat(top, size))
                 hit = hit[np.concatenate([[True], own[hit][1:] != own[hit][:-1]])]
-                for d, value, at in zip(who.tolist(), top.tolist(), hit.tolist(), strict=True):
-                    if value > FAR:
+                for d, value, free, at in zip(who.tolist(), (-np.logaddexp(-bound[who], -top)).tolist(), top.tolist(), hit.tolist(), strict=True):
+                    if free > FAR:
                         e = int(open_[at])
                         pools[live[d]].append((value, path, int(e - starts[d] + shift[d]), (int(edges[e]),), float(prefix[e]), int(occurrence[e])))
                 g[hit] = -np.inf
@@ -367,7 +456,6 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
     live = np.arange(len(texts))
     all_words = np.arange(len(root))
     edges, count = lat.descend(root, word_keys(0, all_words))
-    count = np.concatenate([count, np.zeros(len(root) - len(count), np.int64)])
     occurrence = np.repeat(all_words, count)
     sizes = np.bincount(doc[occurrence], minlength=len(texts)) if len(occurrence) else np.zeros(len(texts), np.int64)
     top = -np.log(-np.log(draw(doc_key, 0)))
@@ -385,9 +473,9 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
             pool = pools[d]
             best = max(range(len(pool)), key=lambda i: pool[i][0])
             value, path, step, out, prefix, occ = pool.pop(best)
-            node = lat.source[out[0]]
+            node = lat.source(out[0])
             a, b = lat.first[node], lat.first[node + 1]
-            p = lat.p[a:b].copy()
+            p = np.exp(lat.log_p[a:b])
             p[[x - a for x in out]] = 0.0
             c = np.cumsum(p)
             e = int(a + min(np.searchsorted(c, u * c[-1], "right"), np.flatnonzero(p)[-1]))
@@ -397,7 +485,7 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
             before.append(prefix + float(lat.log_p[e]))
             values.append(value)
             shift.append(step + 1)
-            rest = c[-1] - lat.p[e]
+            rest = c[-1] - p[e - a]
             residue.append((path, step, (*out, e), prefix, occ, rest) if rest > 1e-14 and len(out) + 1 < b - a else None)
         occs = np.array(occs, np.int64)
         sizes = last[live] - occs
@@ -406,7 +494,6 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
         node[np.cumsum(sizes) - sizes] = nodes
         key = word_keys(j, span)
         edges, count = lat.descend(node, key)
-        count = np.concatenate([count, np.zeros(len(span) - len(count), np.int64)])
         occurrence = np.repeat(span, count)
         owner = np.repeat(np.arange(len(live)), sizes)
         steps = np.bincount(np.repeat(owner, count), minlength=len(live))
@@ -428,14 +515,20 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
             inclusion = 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(min(lp - threshold, 700.0))))
             own.append((lat.piece[edge], lp, value, inclusion))
         result.append(own)
+    lat.trim()
     return result
 
 
 def expand(vocab: Vocabulary, pieces: np.ndarray) -> np.ndarray:
     """Ids of the vocabulary: characters in bytes become their byte pieces."""
+    return expand_all(vocab, pieces, np.array([len(pieces)]))[0]
+
+
+def expand_all(vocab: Vocabulary, pieces: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for several texts, whose pieces follow each other: (ids, number of each text's)."""
     odd = np.flatnonzero(pieces >= vocab.size)
     if not len(odd):
-        return pieces.astype(np.int32)
+        return pieces.astype(np.int32), counts
     kinds, which = np.unique(pieces[odd] - vocab.size, return_inverse=True)
     spelled_ = [vocab.bytes_of(int(c)) for c in kinds]
     size = np.array([len(s) for s in spelled_], np.int64)
@@ -443,9 +536,9 @@ def expand(vocab: Vocabulary, pieces: np.ndarray) -> np.ndarray:
     count = np.ones(len(pieces), np.int64)
     count[odd] = size[which]
     out = np.repeat(pieces, count).astype(np.int32)
-    place = gather((np.cumsum(count) - count)[odd], count[odd])
-    out[place] = table[gather((np.cumsum(size) - size)[which], size[which])]
-    return out
+    ends = np.cumsum(count)
+    out[gather((ends - count)[odd], count[odd])] = table[gather((np.cumsum(size) - size)[which], size[which])]
+    return out, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
 
 def _run(path: str, k: int, alpha: float, seed: int):
@@ -458,17 +551,14 @@ def _run(path: str, k: int, alpha: float, seed: int):
                 ids = batch.column("doc_id")[i:j].to_pylist()
                 texts = ["" if t is None else t for t in batch.column("text")[i:j].to_pylist()]
                 keys = [xxhash.xxh3_64_intdigest(str(x), seed) for x in ids]
-                rows, lists = [], []
-                for x, text, own in zip(ids, texts, sample(vocab, texts, keys, k), strict=True):
-                    raw = text.encode("utf-8")
-                    for s, (pieces, lp, value, inclusion) in enumerate(own, 1):
-                        out = expand(vocab, pieces)
-                        rows.append((x, s, len(out), lp, value, inclusion, vocab.decode(out) == raw))
-                        lists.append(out)
-                sizes = np.array([len(x) for x in lists], np.int64)
-                column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
+                found = sample(vocab, texts, keys, k)
+                rows = [(x, text, s, *own) for x, text, paths in zip(ids, texts, found, strict=True) for s, own in enumerate(paths, 1)]
+                doc, text, number, pieces, log_prob, value, inclusion = zip(*rows, strict=True)
+                out, sizes = expand_all(vocab, np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+                same = [a == b.encode("utf-8") for a, b in zip(vocab.decode_all(out, sizes), text, strict=True)]
+                column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(out))
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-                cols = list(zip(*rows, strict=True)) or [[]] * 7
+                cols = (doc, number, sizes, log_prob, value, inclusion, same)
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], column], names=["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip", "pieces"])
                 release()
 

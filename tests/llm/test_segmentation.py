@@ -91,6 +91,39 @@ def test_batches_do_not_matter(vocab):
         assert [(p[0].tolist(), p[1:]) for p in alone] == [(p[0].tolist(), p[1:]) for p in whole[i]] or all(a[0].tolist() == b[0].tolist() and np.allclose(a[1:], b[1:]) for a, b in zip(alone, whole[i], strict=True))
 
 
+def test_words_are_looked_up_once(vocab, monkeypatch):
+    """A worker's later texts find the lattices of words that it has seen, whichever chunk those came in."""
+    seen, find = [], G.Table.find
+    monkeypatch.setattr(G.Table, "find", lambda self, h: seen.append(len(h)) or find(self, h))
+    text = "words unheardof before, \n\nthen heard again"
+    (first,) = G.sample(vocab, [text], [3], 2)
+    looked_up = len(seen)
+    (again,) = G.sample(vocab, [text], [3], 2)
+    assert looked_up and len(seen) == looked_up
+    assert [(p[0].tolist(), p[1:]) for p in first] == [(p[0].tolist(), p[1:]) for p in again]
+
+
+@pytest.mark.parametrize("kept", [0, 40, 400, 4000])
+def test_kept_words_do_not_matter(monkeypatch, kept):
+    """Whatever is kept of earlier words, samples are those of a new worker, and memory is bounded."""
+    monkeypatch.setattr(G, "KEPT_EDGES", kept)
+    used = G.Vocabulary(MODEL)
+    texts = [f"w{i} thor the\n\n\nof {'ab' * (i % 9)} {i}x{i} \x00  é中 the thor \n▁{i % 4}" for i in range(60)] + ["\n\n", "x" * 500, "", "the thor " * 20, "\n"]
+    dropped = False
+    for i in range(0, len(texts), 5):
+        known = len(used.lattice.codes)
+        got = G.sample(used, texts[i : i + 5], list(range(i, i + 5)), 3)
+        dropped |= len(used.lattice.codes) < known
+        assert used.lattice.edges <= kept and len(used.lattice.piece) <= 2 * kept + 1
+        new = G.Vocabulary.__new__(G.Vocabulary)
+        new.__dict__.update(used.__dict__, lattice=None)
+        new.lattice = G.Lattice(new)
+        for own, text, row in zip(got, texts[i : i + 5], G.sample(new, texts[i : i + 5], list(range(i, i + 5)), 3), strict=True):
+            assert [p[0].tolist() for p in own] == [p[0].tolist() for p in row] and np.allclose([p[1:] for p in own], [p[1:] for p in row])
+            assert all(used.decode(G.expand(used, p[0])) == text.encode() for p in own)
+    assert dropped or kept in (0, 4000)
+
+
 def test_awkward_rows(awkward, nothing):
     rows = G.segment(awkward, MODEL, samples=2).collect()
     assert all(r.round_trip and r.n_pieces == len(r.pieces) for r in rows)
