@@ -43,8 +43,9 @@ RAW = "\x00"
 FAR = -1e300
 #: Bytes of texts handled at a time; it bounds memory, not results.
 CHUNK_BYTES = 1_200_000
-#: Edges of words' lattices kept for the next texts, 32 bytes each; it bounds memory, not results.
-KEPT_EDGES = 4_000_000
+#: Edges of words' lattices kept for the next texts, 24 bytes each; it bounds memory, not results.
+KEPT_EDGES = 5_000_000
+TINY = 1e-300
 SCHEMA = "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean, pieces array<int>"
 _WORD = re.compile(r" *[^ ]+| +$")
 #: Texts that ``cut`` must see: empty ones, and blanks that begin, end or follow each other.
@@ -200,7 +201,7 @@ class Lattice:
         self.nodes, self.edges = 1, 0
         self.first = np.zeros(2, np.int64)
         self.target, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.log_p, self.cum, self.log_rest = np.zeros(0), np.zeros(0), np.zeros(0)
+        self.log_p, self.cum = np.zeros(0), np.zeros(0)
         self.root, self.length, self.hits = (np.zeros(0, np.int64) for _ in range(3))
 
     def places(self, words: list[str]) -> np.ndarray:
@@ -231,13 +232,13 @@ class Lattice:
         edges, nodes = gather(self.first[root], size), gather(root, length)
         now = np.where(length > 0, 1 + np.cumsum(length) - length, 0)
         target = self.target[edges]
-        self.target[: len(edges)] = np.where(target > 0, target + np.repeat(now - root, size), 0)
-        for values in (self.piece, self.log_p, self.cum, self.log_rest):
+        self.target[: len(edges)] = (target + np.repeat(now - root, size)) * (target > 0)
+        for values in (self.piece, self.log_p, self.cum):
             values[: len(edges)] = values[edges]
         self.first[2 : 2 + len(nodes)] = np.cumsum(self.first[nodes + 1] - self.first[nodes])
         self.nodes, self.edges = 1 + len(nodes), len(edges)
         if len(self.piece) > 2 * KEPT_EDGES:
-            for name in ("target", "piece", "log_p", "cum", "log_rest"):
+            for name in ("target", "piece", "log_p", "cum"):
                 setattr(self, name, getattr(self, name)[: self.edges].copy())
             self.first = self.first[: self.nodes + 1].copy()
         words = list(self.codes)
@@ -267,7 +268,7 @@ class Lattice:
         alive, h = np.arange(n), np.zeros(n, np.uint64)
         for k, table in enumerate(vocab.tables, 1):
             if k > 1:
-                long = left[alive] >= k
+                long = np.flatnonzero(left[alive] >= k)
                 alive, h = alive[long], h[long]
             if not len(alive):
                 break
@@ -291,8 +292,9 @@ class Lattice:
         target, piece = np.empty(total, np.int32), np.empty(total, np.int32)
         free = first.copy()
         for k, (src, found) in enumerate(zip(sources, pieces, strict=True), 1):
-            at = free[src]
-            target[at], piece[at] = np.where(left[src] == k, -1, src + k), found
+            at, to = free[src], src + k
+            to[left[src] == k] = -self.nodes
+            target[at], piece[at] = to, found
             free[src] = at + 1
         del sources, pieces, alive, h, free
         # From the words' ends backward: all nodes at one distance from an end at once.
@@ -303,6 +305,7 @@ class Lattice:
         bounds = np.cumsum(np.bincount(left)) if n else np.zeros(1, np.int64)
         score = vocab.score[np.minimum(piece, vocab.size)][edges]
         to = target[edges]
+        np.maximum(to, -1, out=to)
         back = np.zeros(n + 1)  # the last is the end's
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             e0, e1 = int(begin[a]), int(begin[b]) if b < n else total
@@ -312,10 +315,10 @@ class Lattice:
             back[order[a:b]] = whole = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, own)), at))
             value -= np.repeat(whole, own)
         log_p = np.empty(total)
-        log_p[edges] = np.minimum(score, 0.0)
+        # 0 says that there is no other edge.
+        log_p[edges] = np.minimum(score, -TINY)
         del score, to, edges, order, begin, size
-        only = first[degree == 1]
-        log_p[only] = 0.0
+        log_p[first[degree == 1]] = 0.0
         # Each node's likeliest edge goes before its others, where a draw most often ends.
         best, most, node, j = first.copy(), log_p[first], np.flatnonzero(degree > 1), 1
         while len(node):
@@ -330,8 +333,6 @@ class Lattice:
         for values in (target, piece, log_p):
             values[one], values[other] = values[other], values[one]
         cum = np.exp(log_p)
-        log_rest = np.log1p(-np.minimum(cum, 1 - 1e-16))
-        log_rest[only] = -np.inf
         node, j = np.flatnonzero(degree > 1), 1
         while len(node):
             at = first[node] + j
@@ -339,8 +340,8 @@ class Lattice:
             j += 1
             node = node[degree[node] > j]
         cum[first + degree - 1] = 1.0
-        target = np.where(target < 0, 0, target + self.nodes)
-        for name, values in (("target", target), ("piece", piece), ("log_p", log_p), ("cum", cum), ("log_rest", log_rest)):
+        target += self.nodes
+        for name, values in (("target", target), ("piece", piece), ("log_p", log_p), ("cum", cum)):
             self._append(name, self.edges, values)
         self._append("first", self.nodes + 1, self.edges + first + degree)
         # Between two line feeds is a word without characters.
@@ -385,16 +386,22 @@ _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _C2
-    x = (x ^ (x >> np.uint64(27))) * _C3
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _C2
+    x ^= x >> np.uint64(27)
+    x *= _C3
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def draw(key: np.ndarray, step) -> np.ndarray:
     """Uniform in (0, 1) by key and step."""
     with np.errstate(over="ignore"):
         x = mix(key + (np.asarray(step).astype(np.uint64) + np.uint64(1)) * _C1)
-    return (x >> np.uint64(12)).astype(np.float64) * 2.0**-52 + 2.0**-53
+    x = (x >> np.uint64(12)).astype(np.float64)
+    x *= 2.0**-52
+    x += 2.0**-53
+    return x
 
 
 def _below(bound, mu, u):
@@ -412,12 +419,13 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
     last = np.cumsum(n)
     first = last - n
     row = np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64)
-    word = (np.arange(len(root)) - np.repeat(first, n)).astype(np.uint64)
+    word = (np.arange(len(root)) - np.repeat(first, n)).astype(np.uint64) * _C3
     doc = np.repeat(np.arange(len(texts)), n)
+    row_of = np.repeat(row, n)
 
-    def word_keys(path: int, occurrences: np.ndarray) -> np.ndarray:
+    def word_keys(path: int, occurrences: np.ndarray | slice) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((row[doc[occurrences]] + np.uint64(path) * _C2) ^ (word[occurrences] * _C3))
+            return mix((row_of[occurrences] + np.uint64(path) * _C2) ^ word[occurrences])
 
     with np.errstate(over="ignore"):
         doc_key = mix(row ^ _C1)
@@ -429,15 +437,16 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
         """Put the best values beside the given steps into the pools. Returns the log probability before each step and, last of all, of each path."""
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        lp = np.concatenate([[0.0], np.cumsum(lat.log_p[edges])])
+        step = lat.log_p[edges]
+        lp = np.zeros(len(step) + 1)
+        np.cumsum(step, out=lp[1:])
         prefix = lp[:-1] - np.repeat(lp[starts] - before, sizes)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        rest = lat.log_rest[edges]
-        open_ = np.flatnonzero(rest > -np.inf)
-        own = owner[open_]
+        open_ = np.flatnonzero(step)
+        own = np.repeat(np.arange(len(sizes)), sizes)[open_]
+        rest = np.log1p(-np.minimum(np.exp(step[open_]), 1 - 1e-16))
         key = word_keys(path + 1000, occurrence[open_])
         # What a value is before it's held below the bound; that changes no order.
-        g = prefix[open_] + rest[open_] - np.log(-np.log(draw(key, open_ - starts[own])))
+        g = prefix[open_] + rest - np.log(-np.log(draw(key, open_ - starts[own])))
         if len(open_):
             begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             size = np.diff(np.concatenate([begins, [len(own)]]))
@@ -455,7 +464,7 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
 
     live = np.arange(len(texts))
     all_words = np.arange(len(root))
-    edges, count = lat.descend(root, word_keys(0, all_words))
+    edges, count = lat.descend(root, word_keys(0, slice(None)))
     occurrence = np.repeat(all_words, count)
     sizes = np.bincount(doc[occurrence], minlength=len(texts)) if len(occurrence) else np.zeros(len(texts), np.int64)
     top = -np.log(-np.log(draw(doc_key, 0)))
