@@ -42,9 +42,11 @@ OWN_BLANK = 0x110000
 RAW = "\x00"
 FAR = -1e300
 #: Bytes of texts handled at a time; it bounds memory, not results.
-CHUNK_BYTES = 1_200_000
-#: Edges of words' lattices kept for the next texts, 24 bytes each; it bounds memory, not results.
+CHUNK_BYTES = 300_000
+#: Edges of words' lattices kept for the next texts, 4 bytes each and 16 for each character; it bounds memory, not results.
 KEPT_EDGES = 5_000_000
+#: New words whose lattices are made at a time; it bounds memory, not results.
+NEW_WORDS = 10_000
 TINY = 1e-300
 SCHEMA = "doc_id long, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean, pieces array<int>"
 _WORD = re.compile(r" *[^ ]+| +$")
@@ -144,6 +146,8 @@ class Vocabulary:
         self.score[usable] = np.log(weight[usable] / weight.sum())
         #: Of a character written in bytes: it has no other reading, so this weighs on nothing.
         self.score[n] = np.log(weight[usable].min() / weight.sum()) - 2
+        #: Characters of each piece; of a character written in bytes: one.
+        self.length = np.ones(n + 1, np.int64)
         self.byte = np.full(256, -1, np.int32)
         self.spelling: list[bytes] = [b""] * n
         for i in range(n):
@@ -160,6 +164,7 @@ class Vocabulary:
                 h = (h * int(self.B) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
                 longest.setdefault(k, {}).setdefault(h, -1)
             longest[len(piece)][h] = i
+            self.length[i] = len(piece)
         #: By length: prefixes' hashes, and the piece that each is, or -1.
         self.tables = [Table(longest[k]) for k in range(1, max(longest) + 1)]
         self.spellings = pa.array(self.spelling, pa.large_binary())
@@ -171,6 +176,7 @@ class Vocabulary:
         cache = worker_cache("pieces")
         if (path, alpha) not in cache:
             cache[path, alpha] = Vocabulary(path, alpha)
+            release()
         return cache[path, alpha]
 
     def bytes_of(self, char: int) -> list[int]:
@@ -189,7 +195,8 @@ class Vocabulary:
 
 
 class Lattice:
-    """The lattices of distinct words. Node 0 is the end of all words; a word's characters are nodes that follow each other, and a node's edges follow each other, too.
+    """The lattices of distinct words. A word's characters are nodes that follow each other, and its end is one more, without edges; a node's edges follow each other, too.
+    An edge is its piece alone: where it leads and its probability are worked out when they are asked for, from the piece's length and score and from the nodes' backward sums.
     Words stay from call to call while there is room; then those that came often do. What a word's lattice holds doesn't depend on the others."""
 
     def __init__(self, vocab: Vocabulary):
@@ -198,10 +205,9 @@ class Lattice:
 
     def forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self.nodes, self.edges = 1, 0
-        self.first = np.zeros(2, np.int64)
-        self.target, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.log_p, self.cum = np.zeros(0), np.zeros(0)
+        self.nodes = self.edges = 0
+        self.first, self.back = np.zeros(1, np.int64), np.zeros(0)
+        self.piece = np.zeros(0, np.int32)
         self.root, self.length, self.hits = (np.zeros(0, np.int64) for _ in range(3))
 
     def places(self, words: list[str]) -> np.ndarray:
@@ -212,38 +218,35 @@ class Lattice:
             new = [words[i] for i in at.tolist()]
             found[at] = np.arange(len(self.codes), len(self.codes) + len(new))
             self.codes.update(zip(new, found[at].tolist(), strict=True))
-            self._add([w[1:] if w[:1] == RAW else w if w == "\n" else " " + w for w in new])
+            for i in range(0, len(new), NEW_WORDS):
+                self._add([w[1:] if w[:1] == RAW else w if w == "\n" else " " + w for w in new[i : i + NEW_WORDS]])
         return found
 
     def trim(self) -> None:
         """Keep at most KEPT_EDGES edges: when there are more, the words that came most often stay, with half as many."""
         if self.edges <= KEPT_EDGES:
             return
-        end = self.root + self.length
-        size = self.first[end] - self.first[self.root]
+        size = self.first[self.root + self.length] - self.first[self.root]
         least = 2
         while size[self.hits >= least].sum() > KEPT_EDGES // 2:
             least *= 2
-        keep = np.flatnonzero(self.hits >= least)
-        if not len(keep):
+        keep = self.hits >= least
+        if not keep.any():
             self.forget()
             return
-        root, length, size = self.root[keep], self.length[keep], size[keep]
-        edges, nodes = gather(self.first[root], size), gather(root, length)
-        now = np.where(length > 0, 1 + np.cumsum(length) - length, 0)
-        target = self.target[edges]
-        self.target[: len(edges)] = (target + np.repeat(now - root, size)) * (target > 0)
-        for values in (self.piece, self.log_p, self.cum):
-            values[: len(edges)] = values[edges]
-        self.first[2 : 2 + len(nodes)] = np.cumsum(self.first[nodes + 1] - self.first[nodes])
-        self.nodes, self.edges = 1 + len(nodes), len(edges)
+        # Words lie in the order of their numbers, so what stays moves up.
+        stay, edges = np.repeat(keep, self.length + 1), int(size[keep].sum())
+        nodes = int(np.count_nonzero(stay))
+        self.piece[:edges] = self.piece[: self.edges][np.repeat(keep, size)]
+        self.back[:nodes] = self.back[: self.nodes][stay]
+        np.cumsum(np.diff(self.first[: self.nodes + 1])[stay], out=self.first[1 : nodes + 1])
+        self.nodes, self.edges = nodes, edges
         if len(self.piece) > 2 * KEPT_EDGES:
-            for name in ("target", "piece", "log_p", "cum"):
-                setattr(self, name, getattr(self, name)[: self.edges].copy())
-            self.first = self.first[: self.nodes + 1].copy()
+            self.piece, self.back, self.first = self.piece[:edges].copy(), self.back[:nodes].copy(), self.first[: nodes + 1].copy()
         words = list(self.codes)
-        self.codes = {words[i]: n for n, i in enumerate(keep.tolist())}
-        self.root, self.length, self.hits = now, length, self.hits[keep] // 2
+        self.codes = {words[i]: n for n, i in enumerate(np.flatnonzero(keep).tolist())}
+        self.length, self.hits = self.length[keep], self.hits[keep] // 2
+        self.root = np.cumsum(self.length + 1) - self.length - 1
 
     def _append(self, name: str, used: int, values: np.ndarray) -> None:
         """Put values behind the used part of an array, which grows by halves."""
@@ -293,7 +296,7 @@ class Lattice:
         free = first.copy()
         for k, (src, found) in enumerate(zip(sources, pieces, strict=True), 1):
             at, to = free[src], src + k
-            to[left[src] == k] = -self.nodes
+            to[left[src] == k] = -1
             target[at], piece[at] = to, found
             free[src] = at + 1
         del sources, pieces, alive, h, free
@@ -303,9 +306,8 @@ class Lattice:
         edges = gather(first[order], size)
         begin = np.cumsum(size) - size
         bounds = np.cumsum(np.bincount(left)) if n else np.zeros(1, np.int64)
-        score = vocab.score[np.minimum(piece, vocab.size)][edges]
+        score = vocab.score.take(piece[edges], mode="clip")
         to = target[edges]
-        np.maximum(to, -1, out=to)
         back = np.zeros(n + 1)  # the last is the end's
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             e0, e1 = int(begin[a]), int(begin[b]) if b < n else total
@@ -330,56 +332,70 @@ class Lattice:
             node = node[degree[node] > j]
         moved = np.flatnonzero(best != first)
         one, other = first[moved], best[moved]
-        for values in (target, piece, log_p):
-            values[one], values[other] = values[other], values[one]
-        cum = np.exp(log_p)
-        node, j = np.flatnonzero(degree > 1), 1
-        while len(node):
-            at = first[node] + j
-            cum[at] += cum[at - 1]
-            j += 1
-            node = node[degree[node] > j]
-        cum[first + degree - 1] = 1.0
-        target += self.nodes
-        for name, values in (("target", target), ("piece", piece), ("log_p", log_p), ("cum", cum)):
-            self._append(name, self.edges, values)
-        self._append("first", self.nodes + 1, self.edges + first + degree)
-        # Between two line feeds is a word without characters.
-        self.root = np.concatenate([self.root, np.where(length > 0, self.nodes + ends - length, 0)])
+        piece[one], piece[other] = piece[other], piece[one]
+        # Each word's end comes after its characters.
+        number = np.arange(len(words))
+        whole, at = np.zeros(n + len(words)), np.arange(n) + np.repeat(number, length)
+        whole[at] = back[:n]
+        after = np.zeros(n + len(words), np.int64)
+        after[at] = degree
+        self._append("piece", self.edges, piece)
+        self._append("back", self.nodes, whole)
+        self._append("first", self.nodes + 1, self.edges + np.cumsum(after))
+        self.root = np.concatenate([self.root, self.nodes + ends - length + number])
         self.length = np.concatenate([self.length, length])
         self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
-        self.nodes, self.edges = self.nodes + n, self.edges + total
+        self.nodes, self.edges = self.nodes + n + len(words), self.edges + total
 
     def source(self, edge: int) -> int:
         return int(np.searchsorted(self.first[: self.nodes + 1], edge, "right")) - 1
 
-    def descend(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward samples from the nodes to their words' ends: (edges of each, in order and joined, number of each)."""
+    def follow(self, node: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where edges of the nodes lead, and the logarithms of their probabilities if their nodes have others (else they are 0)."""
+        # Characters in bytes, whose numbers are beyond the vocabulary, have its last entry.
+        piece = self.piece.take(edge)
+        to = self.vocab.length.take(piece, mode="clip")
+        to += node
+        log_p = self.vocab.score.take(piece, mode="clip")
+        log_p += self.back.take(to)
+        log_p -= self.back.take(node)
+        # 0 says that there is no other edge.
+        return to, np.minimum(log_p, -TINY, out=log_p)
+
+    def descend(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward samples from the nodes to their words' ends: (edges of each, in order and joined, number of each, the edges' log probabilities)."""
         count = np.zeros(len(node), np.int64)
-        at = np.flatnonzero(node)
-        node, key = node[at], key[at]
+        edge, end = self.first[node], self.first[node + 1]
+        at = np.flatnonzero(edge < end)
+        node, key, edge, end = node[at], key[at], edge[at], end[at]
         steps = []
         s = 0
         while len(at):
-            edge, u = self.first[node], draw(key, s)
-            more = np.flatnonzero(u >= self.cum[edge])
-            beyond, high = edge[more], u[more]
+            to, log_p = self.follow(node, edge)
+            end -= 1
+            log_p[edge == end] = 0.0
+            u = draw(key, s)
+            cum = np.exp(log_p)
+            more = np.flatnonzero((u >= cum) & (edge < end))
+            cum = cum[more]
             while len(more):
-                beyond += 1
-                edge[more] = beyond
-                go = np.flatnonzero(high >= self.cum[beyond])
-                more, beyond, high = more[go], beyond[go], high[go]
-            steps.append((at, edge))
+                edge[more] = beyond = edge[more] + 1
+                to[more], log_p[more] = self.follow(node[more], beyond)
+                cum += np.exp(log_p[more])
+                go = np.flatnonzero((u[more] >= cum) & (beyond < end[more]))
+                more, cum = more[go], cum[go]
+            steps.append((at, edge, log_p))
             count[at] += 1
-            node = self.target[edge]
-            go = np.flatnonzero(node)
-            at, node, key = at[go], node[go], key[go]
+            edge, end = self.first.take(to), self.first.take(to + 1)
+            go = np.flatnonzero(edge < end)
+            at, node, key, edge, end = at[go], to[go], key[go], edge[go], end[go]
             s += 1
         start = np.cumsum(count) - count
-        edges = np.empty(int(count.sum()), np.int64)
-        for s, (at, edge) in enumerate(steps):
-            edges[start[at] + s] = edge
-        return edges, count
+        edges, logs = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()))
+        for s, (at, edge, log_p) in enumerate(steps):
+            where = start[at] + s
+            edges[where], logs[where] = edge, log_p
+        return edges, count, logs
 
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -433,11 +449,10 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
     paths: list[list] = [[] for _ in texts]
     pools: list[list] = [[] for _ in texts]
 
-    def beside(path: int, edges: np.ndarray, occurrence: np.ndarray, sizes: np.ndarray, before: np.ndarray, bound: np.ndarray, shift: np.ndarray, most: int) -> np.ndarray:
+    def beside(path: int, edges: np.ndarray, step: np.ndarray, occurrence: np.ndarray, sizes: np.ndarray, before: np.ndarray, bound: np.ndarray, shift: np.ndarray, most: int) -> np.ndarray:
         """Put the best values beside the given steps into the pools. Returns the log probability before each step and, last of all, of each path."""
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        step = lat.log_p[edges]
         lp = np.zeros(len(step) + 1)
         np.cumsum(step, out=lp[1:])
         prefix = lp[:-1] - np.repeat(lp[starts] - before, sizes)
@@ -464,11 +479,11 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
 
     live = np.arange(len(texts))
     all_words = np.arange(len(root))
-    edges, count = lat.descend(root, word_keys(0, slice(None)))
+    edges, count, step = lat.descend(root, word_keys(0, slice(None)))
     occurrence = np.repeat(all_words, count)
     sizes = np.bincount(doc[occurrence], minlength=len(texts)) if len(occurrence) else np.zeros(len(texts), np.int64)
     top = -np.log(-np.log(draw(doc_key, 0)))
-    total = beside(0, edges, occurrence, sizes, np.zeros(len(texts)), top, np.zeros(len(texts), np.int64), k)
+    total = beside(0, edges, step, occurrence, sizes, np.zeros(len(texts)), top, np.zeros(len(texts), np.int64), k)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     for d in range(len(texts)):
         paths[d].append((edges[bounds[d] : bounds[d + 1]], float(total[d]), float(top[d])))
@@ -484,14 +499,15 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
             value, path, step, out, prefix, occ = pool.pop(best)
             node = lat.source(out[0])
             a, b = lat.first[node], lat.first[node + 1]
-            p = np.exp(lat.log_p[a:b])
+            to, log_p = lat.follow(node, np.arange(a, b))
+            p = np.exp(log_p)
             p[[x - a for x in out]] = 0.0
             c = np.cumsum(p)
             e = int(a + min(np.searchsorted(c, u * c[-1], "right"), np.flatnonzero(p)[-1]))
             heads.append(np.concatenate([paths[d][path][0][:step], [e]]))
-            nodes.append(lat.target[e])
+            nodes.append(to[e - a])
             occs.append(occ)
-            before.append(prefix + float(lat.log_p[e]))
+            before.append(prefix + float(log_p[e - a]))
             values.append(value)
             shift.append(step + 1)
             rest = c[-1] - p[e - a]
@@ -502,12 +518,12 @@ def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLE
         node = root[span]
         node[np.cumsum(sizes) - sizes] = nodes
         key = word_keys(j, span)
-        edges, count = lat.descend(node, key)
+        edges, count, step = lat.descend(node, key)
         occurrence = np.repeat(span, count)
         owner = np.repeat(np.arange(len(live)), sizes)
         steps = np.bincount(np.repeat(owner, count), minlength=len(live))
         before, values = np.array(before), np.array(values)
-        total = beside(j, edges, occurrence, steps, before, values, np.array(shift), k - j)
+        total = beside(j, edges, step, occurrence, steps, before, values, np.array(shift), k - j)
         left = draw(doc_key[live], 1000 + j)
         bounds = np.concatenate([[0], np.cumsum(steps)])
         for i, d in enumerate(live.tolist()):
@@ -550,26 +566,30 @@ def expand_all(vocab: Vocabulary, pieces: np.ndarray, counts: np.ndarray) -> tup
     return out, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
 
+def _rows(vocab: Vocabulary, ids: pa.Array, texts: list[str | None], k: int, seed: int) -> pa.RecordBatch:
+    import xxhash
+
+    ids, texts = ids.to_pylist(), ["" if t is None else t for t in texts]
+    found = sample(vocab, texts, [xxhash.xxh3_64_intdigest(str(x), seed) for x in ids], k)
+    rows = [(x, text, s, *own) for x, text, paths in zip(ids, texts, found, strict=True) for s, own in enumerate(paths, 1)]
+    doc, text, number, pieces, log_prob, value, inclusion = zip(*rows, strict=True)
+    out, sizes = expand_all(vocab, np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    same = [a == b.encode("utf-8") for a, b in zip(vocab.decode_all(out, sizes), text, strict=True)]
+    column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(out))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
+    cols = (doc, number, sizes, log_prob, value, inclusion, same)
+    return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], column], names=["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip", "pieces"])
+
+
 def _run(path: str, k: int, alpha: float, seed: int):
     def run(batches):
-        import xxhash
-
         vocab = Vocabulary.get(path, alpha)
         for batch in batches:
             for i, j in byte_chunks(batch.column("text"), CHUNK_BYTES):
-                ids = batch.column("doc_id")[i:j].to_pylist()
-                texts = ["" if t is None else t for t in batch.column("text")[i:j].to_pylist()]
-                keys = [xxhash.xxh3_64_intdigest(str(x), seed) for x in ids]
-                found = sample(vocab, texts, keys, k)
-                rows = [(x, text, s, *own) for x, text, paths in zip(ids, texts, found, strict=True) for s, own in enumerate(paths, 1)]
-                doc, text, number, pieces, log_prob, value, inclusion = zip(*rows, strict=True)
-                out, sizes = expand_all(vocab, np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces)))
-                same = [a == b.encode("utf-8") for a, b in zip(vocab.decode_all(out, sizes), text, strict=True)]
-                column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(out))
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-                cols = (doc, number, sizes, log_prob, value, inclusion, same)
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], column], names=["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip", "pieces"])
+                yield _rows(vocab, batch.column("doc_id")[i:j], batch.column("text")[i:j].to_pylist(), k, seed)
                 release()
+            # Else it stays until the next one is there.
+            del batch
 
     return run
 

@@ -1,7 +1,9 @@
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -124,6 +126,20 @@ def test_kept_words_do_not_matter(monkeypatch, kept):
     assert dropped or kept in (0, 4000)
 
 
+def test_memory_of_a_worker():
+    """Two workers and their executor's JVM share its memory: a worker full of different words takes little of it."""
+    letters = np.random.default_rng(1).integers(97, 123, (10, 40_000, 7), np.uint8)
+    texts = [" ".join(w.tobytes().decode() for w in words) for words in letters]
+    G.Vocabulary.get(MODEL, 0.9)
+    tracemalloc.start()
+    try:
+        out = [b.num_rows for b in G._run(MODEL, 2, 0.9, 11)(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "text": texts})]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(out) == 20 and peak < 260e6, peak
+
+
 def test_awkward_rows(awkward, nothing):
     rows = G.segment(awkward, MODEL, samples=2).collect()
     assert all(r.round_trip and r.n_pieces == len(r.pieces) for r in rows)
